@@ -12,7 +12,7 @@ from weirmark.plans.fixture import BASE_US, DENSE, NATURAL
 
 BASE = BASE_US // 1_000_000
 AS_OF_DENSE = BASE + 603 * 60 + 17  # inside the dense spike
-AS_OF_NATURAL = BASE + (28 * 1440 + 90) * 60 + 5  # inside the natural spike
+AS_OF_NATURAL = BASE + (28 * 1440 + 5) * 60 + 5  # just inside the natural spike
 RETENTION_NOW = BASE + 40 * 86400 + 3600
 SERIES = ("10.0.0.0/16", "10.1.0.0/16", "10.2.0.0/16", "10.3.0.0/16")
 ONE_PREFIX = "10.0.0.0/8"

@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", name: str = "weirmark") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .getOrCreate()
     )
 
