@@ -226,11 +226,13 @@ def parse_ipv6(text: str) -> str:
 
 def parse_ip(text: str) -> str:
     """Address text to ``struct(family, key)``; NULL where it is invalid."""
-    packed = (
-        f"CASE WHEN _v4 IS NOT NULL THEN struct(4 AS family, {halves_to_key('0L', '_v4')} AS key)"
-        f" WHEN _v6 IS NOT NULL THEN struct(6 AS family, _v6 AS key) END"
+    v4 = f"struct(4 AS family, {halves_to_key('0L', '_v4')} AS key)"
+    v6 = "CASE WHEN _v6 IS NOT NULL THEN struct(6 AS family, _v6 AS key) END"
+    return _let(
+        "_v4",
+        parse_ipv4(text),
+        f"CASE WHEN _v4 IS NOT NULL THEN {v4} ELSE {_let('_v6', parse_ipv6(text), v6)} END",
     )
-    return _let("_v4", parse_ipv4(text), _let("_v6", parse_ipv6(text), packed))
 
 
 def _mask64(bits: str) -> str:

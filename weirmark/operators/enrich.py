@@ -30,7 +30,9 @@ def scale_samples(flows: DataFrame, routers: DataFrame) -> DataFrame:
     :func:`out_of_range`.
     """
     df = flows.withColumn("_sampler", F.expr(ip.ip_compact("sampler_address")))
-    df = joins.lookup_join(df, router_defaults(routers), ["_sampler"], "left")
+    # the table of defaults has no more rows than the routers themselves
+    small = joins.at_most(routers, joins.BROADCAST_ROWS)
+    df = joins.lookup_join(df, router_defaults(routers), ["_sampler"], "left", small=small)
     rate = (
         "CASE WHEN sampling_rate = 0 THEN coalesce(_default_sampling, 0L) ELSE sampling_rate END"
     )

@@ -117,36 +117,42 @@ def _lookup_table(ranges: DataFrame) -> DataFrame:
     )
 
 
-def _match_by_lookups(df: DataFrame, index: PrefixIndex) -> tuple[DataFrame, str]:
+def _match_by_lookups(df: DataFrame, index: PrefixIndex, output: str) -> DataFrame:
     """Chain of map-side lookups: no shuffle and no extra rows on the fact side.
 
     Every lookup of a family has the same build side and build keys, so Spark
     sends and keeps one hash table for all of them. IPv4 keys fit one long,
     for which Spark has a compact table.
     """
-    v4 = index.table.filter("_tag < 6000").selectExpr(
-        f"{_one_long('_tag', '_upper')} AS _key", "_names"
-    )
-    v6 = index.table.filter("_tag >= 6000")
-    keep = [F.col(f"f.{c}") for c in df.columns]
+    hints, joined, names = [], [], []
     for i, (family, length) in enumerate(index.lengths):
         tag, upper, lower = _lookup_key(family, length)
         if family == 4:
-            side, test = v4, f"{_one_long(4000 + length, upper)} = t._key"
+            test = f"{_one_long(4000 + length, upper)} = p{i}._key"
         else:
-            side, test = v6, f"{tag} = t._tag AND {upper} = t._upper AND {lower} = t._lower"
-        keep.append(F.col("t._names").alias(f"_names{i}"))
-        df = df.alias("f").join(F.broadcast(side).alias("t"), F.expr(test), "left").select(*keep)
-        keep[-1] = F.col(f"f._names{i}")
-    hits = ", ".join(f"_names{i}" for i in range(len(index.lengths)))
-    return df, f"flatten(array_compact(array({hits})))"
+            test = f"{tag} = p{i}._tag AND {upper} = p{i}._upper AND {lower} = p{i}._lower"
+        hints.append(f"p{i}")
+        joined.append(f"LEFT JOIN {{v{family}}} p{i} ON {test}")
+        names.append(f"p{i}._names")
+    return df.sparkSession.sql(
+        f"SELECT /*+ BROADCAST({', '.join(hints)}) */ f.*,"
+        f" flatten(array_compact(array({', '.join(names)}))) AS {output}"
+        f" FROM {{flows}} f {' '.join(joined)}",
+        flows=df,
+        v4=index.table.filter("_tag < 6000").selectExpr(
+            f"{_one_long('_tag', '_upper')} AS _key", "_names"
+        ),
+        v6=index.table.filter("_tag >= 6000"),
+    )
 
 
 def _one_long(tag: str | int, upper: str) -> str:
     return f"{tag} * 4294967296L + {upper}"
 
 
-def _match_by_address(df: DataFrame, index: PrefixIndex, small: bool) -> tuple[DataFrame, str]:
+def _match_by_address(
+    df: DataFrame, index: PrefixIndex, small: bool, output: str
+) -> DataFrame:
     """For prefix tables too large to broadcast (or too many lengths).
 
     Works on distinct addresses, whose partial aggregation absorbs a flood of
@@ -179,7 +185,7 @@ def _match_by_address(df: DataFrame, index: PrefixIndex, small: bool) -> tuple[D
         )
     )
     joined = joins.lookup_join(df.withColumns(filled), found, list(filled), "left", small=False)
-    return joined, "coalesce(_matched, CAST(array() AS ARRAY<STRING>))"
+    return joined.withColumn(output, F.expr("coalesce(_matched, CAST(array() AS ARRAY<STRING>))"))
 
 
 def match_prefixes(
@@ -202,10 +208,10 @@ def match_prefixes(
     parts = _split_address(df, key, family)
     small = index.rows <= max_rows
     if small and len(index.lengths) <= max_lookups:
-        joined, matched = _match_by_lookups(parts, index)
+        matched = _match_by_lookups(parts, index, output)
     else:
-        joined, matched = _match_by_address(parts, index, small)
-    return joined.select(*columns, F.expr(matched).alias(output))
+        matched = _match_by_address(parts, index, small, output)
+    return matched.select(*columns, output)
 
 
 def longest_prefix(prefixes: str) -> str:
