@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weirmark.functions import codes
 from weirmark.functions.timeslot import DAY, MINUTE, at, epoch_slot, time_range, to_epoch, to_minute
-from weirmark.operators.joins import at_most, lookup_join
+from weirmark.operators.joins import BROADCAST_ROWS, lookup_join
 from weirmark.operators.prefix import rule_prefixes
 from weirmark.operators.rollup import SUMS, merge_partials
 
@@ -49,7 +49,12 @@ class _Rules:
         chosen = rules.filter(F.col("type") == kind)
         self.rows = rule_prefixes(chosen, "id", *columns)
         self.prefixes = self.rows.select("prefix").distinct()
-        self.small = at_most(self.rows, 200_000)
+        longest = F.max("duration") if "duration" in columns else F.lit(None)
+        head = self.rows.limit(BROADCAST_ROWS + 1)
+        count, longest = head.agg(F.count("*"), longest).first()
+        self.small = count <= BROADCAST_ROWS
+        # longest duration of all rules, where all of them were seen
+        self.longest = longest if self.small else None
 
     def only_ruled(self, rollup: DataFrame) -> DataFrame:
         """Rollup rows whose prefix some rule names; done before any shuffle."""
@@ -152,15 +157,17 @@ def _judge_static(df: DataFrame) -> DataFrame:
 _SEEN = f"struct(_t, {_BPS} AS bps, {_PPS} AS pps)"
 
 
-def _static_rules(rules: DataFrame) -> _Rules:
+def _static_rules(rules: DataFrame, max_duration: int) -> tuple[_Rules, int]:
+    """Rules that can fire, and how many minutes they look back at most."""
     # a rule without a duration never fires
-    return _Rules(
+    ruled = _Rules(
         rules.filter("duration IS NOT NULL"),
         "threshold",
         "bandwidth_threshold",
         "packet_threshold",
         "duration",
     )
+    return ruled, max_duration if ruled.longest is None else min(max_duration, ruled.longest)
 
 
 def static_threshold_alerts(
@@ -172,12 +179,12 @@ def static_threshold_alerts(
     ``duration + 1`` slots, the running minute among them.
     """
     now = to_minute(as_of)
-    ruled = _static_rules(rules)
+    ruled, reach = _static_rules(rules, max_duration)
     minutes = merge_partials(
-        ruled.only_ruled(time_range(totals, now - max_duration * MINUTE, now)),
+        ruled.only_ruled(time_range(totals, now - reach * MINUTE, now)),
         ["prefix", "time_received"],
     ).withColumn("_t", _minute())
-    # at most max_duration + 1 minutes in a group
+    # at most reach + 1 minutes in a group
     windows = (
         ruled.join(minutes)
         .filter(f"_t >= {now // MINUTE} - duration")
@@ -201,13 +208,11 @@ def static_threshold_grid(
     one minute at most, and an alert can outlive the last row by one minute.
     """
     low, high = _bounds(start, end)
-    ruled = _static_rules(rules)
+    ruled, reach = _static_rules(rules, max_duration)
     minutes = _chunked(
-        ruled.only_ruled(_read(totals, low, high, max_duration)), ["prefix"], max_duration + 1, chunk
-    )
-    w = (
-        Window.partitionBy("prefix", "_chunk").orderBy("_t").rangeBetween(-max_duration, 0)
+        ruled.only_ruled(_read(totals, low, high, reach + 1)), ["prefix"], reach + 1, chunk
     )
+    w = Window.partitionBy("prefix", "_chunk").orderBy("_t").rangeBetween(-reach, 0)
     seen = F.collect_list(F.expr(f"CASE WHEN bytes IS NOT NULL THEN {_SEEN} END")).over(w)
     windows = _own_minutes(
         _with_silent_minutes(minutes, ["prefix"], 1, chunk).withColumn("_seen", seen),

@@ -124,26 +124,22 @@ def _match_by_lookups(df: DataFrame, index: PrefixIndex, output: str) -> DataFra
     sends and keeps one hash table for all of them. IPv4 keys fit one long,
     for which Spark has a compact table.
     """
-    hints, joined, names = [], [], []
+    v4 = index.table.filter("_tag < 6000").selectExpr(
+        f"{_one_long('_tag', '_upper')} AS _key", "_names"
+    )
+    v6 = index.table.filter("_tag >= 6000")
+    names = []
     for i, (family, length) in enumerate(index.lengths):
+        side = v4 if family == 4 else v6
+        side = side.select(*[F.col(c).alias(f"{c}{i}") for c in side.columns])
         tag, upper, lower = _lookup_key(family, length)
         if family == 4:
-            test = f"{_one_long(4000 + length, upper)} = p{i}._key"
+            test = f"{_one_long(4000 + length, upper)} = _key{i}"
         else:
-            test = f"{tag} = p{i}._tag AND {upper} = p{i}._upper AND {lower} = p{i}._lower"
-        hints.append(f"p{i}")
-        joined.append(f"LEFT JOIN {{v{family}}} p{i} ON {test}")
-        names.append(f"p{i}._names")
-    return df.sparkSession.sql(
-        f"SELECT /*+ BROADCAST({', '.join(hints)}) */ f.*,"
-        f" flatten(array_compact(array({', '.join(names)}))) AS {output}"
-        f" FROM {{flows}} f {' '.join(joined)}",
-        flows=df,
-        v4=index.table.filter("_tag < 6000").selectExpr(
-            f"{_one_long('_tag', '_upper')} AS _key", "_names"
-        ),
-        v6=index.table.filter("_tag >= 6000"),
-    )
+            test = f"{tag} = _tag{i} AND {upper} = _upper{i} AND {lower} = _lower{i}"
+        df = df.join(F.broadcast(side), F.expr(test), "left")
+        names.append(f"_names{i}")
+    return df.withColumn(output, F.expr(f"flatten(array_compact(array({', '.join(names)})))"))
 
 
 def _one_long(tag: str | int, upper: str) -> str:
