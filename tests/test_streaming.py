@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 
@@ -69,11 +70,15 @@ def test_evaluation_appends_once_per_moment(spark, live):
     assert len(lines) == want.count() and lines[0]["rule_name"].startswith("Supplier")
     assert not pipeline.hand_off(found.limit(0), str(tmp / "none"))
     query = pipeline.start_evaluation(spark, store, dims, str(tmp / "tick"), "1 second", lambda: now + 60)
+    done = f"{store.path('advanced_ddos_alerts')}/part={now + 60}/_SUCCESS"
     try:
-        query.processAllAvailable()
+        for _ in range(120):
+            if os.path.exists(done) or query.exception():
+                break
+            time.sleep(0.5)
     finally:
         query.stop()
-    assert os.path.isdir(f"{store.path('threshold_alerts')}/part={now + 60}")
+    assert os.path.exists(done)
 
 
 def test_watermarked_totals(spark, tmp_path):
