@@ -2,4 +2,100 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+import re
+
+from weirmark.llm import quality_rules as quality
+from weirmark.llm import url_rules as urls
+
+SPACE = r"\x20\x09-\x0D"
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    return ", ".join("(" + ", ".join(cell(x) for x in row) + ")" for row in rows)
+
+
+def op1_quality_rules() -> str:
+    bound = quality.ERROR / (len(quality.RULES) * (len(quality.STRATA) + 1))
+    tests = _values([(r.name, c) for r in quality.RULES for c in r.cutoffs])
+    share = lambda r: r.share.replace(" DIV ", " // ")
+    shares = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r.name}' AS rule, {share(r)} AS v FROM base" for r in quality.RULES)
+    fails = ", ".join(
+        f"CASE WHEN {share(r)} > (SELECT min(cut) FROM safe s WHERE s.stratum = b.stratum AND s.rule = '{r.name}') THEN '{r.name}' END"
+        for r in quality.RULES
+    )
+    return rf"""
+WITH src AS (
+  SELECT doc_id, CASE WHEN lang IN {quality.STRATA} THEN lang ELSE '{quality.OTHER}' END AS stratum,
+    coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT *, regexp_extract_all(text, '[^{SPACE}]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS l FROM src
+), grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
+  FROM t, unnest(range(1, len(w) - 3)) AS r(i)
+), found AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM found, range(0, 5) AS s(j) WHERE n >= 2 GROUP BY doc_id
+), base AS (
+  SELECT doc_id, stratum, len(w) AS n_words, length(regexp_replace(text, '[{SPACE}]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN repeats USING (doc_id)
+), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base
+), good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), shares AS ({shares}
+), held AS (
+  SELECT s.* FROM shares s JOIN judged j USING (doc_id) WHERE NOT j.base_failed AND doc_id IN (SELECT doc_id FROM good)
+), tests AS (
+  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
+  FROM held JOIN (VALUES {tests}) AS c(rule, cut) USING (rule) GROUP BY ALL
+), safe AS (
+  SELECT stratum, rule, cut FROM tests WHERE k <= {quality.RISK} * n AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality.RISK}) + (n - j) * ln(1 - {quality.RISK})))
+    FROM unnest(range(0, k + 1)) AS r(j)) <= {bound}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  len(list_filter([{fails}], lambda x: x IS NOT NULL)) AS n_rejections,
+  NOT base_failed AND len(list_filter([{fails}], lambda x: x IS NOT NULL)) = 0 AS kept
+FROM judged b
+"""
+
+
+def _pattern(glob: str) -> str:
+    """The same glob as a regular expression."""
+    parts = re.findall(r"\*\*|\*|\\.|[^*\\]", glob)
+    return "".join({"**": ".*", "*": "[^/?#]*"}.get(p, re.escape(p[-1])) for p in parts)
+
+
+def op7_url_rules() -> str:
+    hosts = _values([(i, r.host, r.path, r.verdict) for i, r in enumerate(urls.HOST_RULES)])
+    globs = _values([(i, r.glob, f"(?s){_pattern(r.glob)}", r.verdict) for i, r in enumerate(urls.GLOB_RULES)])
+    return rf"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u,
+    translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '://([^/?#]*)([^?#]*)', 2) AS path,
+    regexp_extract(u, '://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS query
+  FROM pages
+), h(i, rhost, rpath, verdict) AS (VALUES {hosts}
+), g(i, shape, pattern, verdict) AS (VALUES {globs}
+), best AS (
+  SELECT *, (SELECT struct_pack(rule := rhost || rpath, verdict := verdict) FROM h
+      WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+      ORDER BY length(rhost || rpath) DESC, i LIMIT 1) AS r,
+    (SELECT struct_pack(shape := shape, verdict := verdict) FROM g
+      WHERE regexp_full_match(host || path || query, pattern) ORDER BY length(shape) DESC, i LIMIT 1) AS b
+  FROM p
+)
+SELECT page_id, host, path, r.rule AS rule, CASE WHEN r IS NULL THEN b.shape END AS "glob",
+  coalesce(r.verdict, b.verdict, 'allow') AS verdict
+FROM best
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": op1_quality_rules(),
+    "op7_url_rules": op7_url_rules(),
+}
