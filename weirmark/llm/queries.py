@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirmark.llm.common import table
 from weirmark.llm.quality_rules import quality_rules
+from weirmark.llm.repeats import repeated_bytes_removed
 from weirmark.llm.simhash import simhash_groups
 from weirmark.llm.url_rules import url_verdicts
 
@@ -22,6 +23,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeated_bytes_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -29,5 +35,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op7_url_rules": op7_url_rules,
+    "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
 }
