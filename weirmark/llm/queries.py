@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmark.llm.common import table
+from weirmark.llm.lz_prints import edited_likeness
 from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
 from weirmark.llm.simhash import simhash_groups
+from weirmark.llm.token_files import token_digests
 from weirmark.llm.url_rules import url_verdicts
 
 
@@ -19,6 +22,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("n_rejections", F.size("rejected_by").cast("long")).drop("rejected_by")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_lz_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -34,6 +45,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_files": op2_token_files,
+    "op4_lz_prints": op4_lz_prints,
     "op7_url_rules": op7_url_rules,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
