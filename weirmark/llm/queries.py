@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmark.llm.common import table
+from weirmark.llm.language_model import language_scores
 from weirmark.llm.lz_prints import edited_likeness
 from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
@@ -30,6 +31,10 @@ def op4_lz_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op4_lz_prints": op4_lz_prints,
+    "op6_language_model": op6_language_model,
     "op7_url_rules": op7_url_rules,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
