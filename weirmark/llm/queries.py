@@ -13,6 +13,7 @@ from weirmark.llm.language_model import language_scores
 from weirmark.llm.lz_prints import edited_likeness
 from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
+from weirmark.llm.rule_ensemble import quality_scores
 from weirmark.llm.simhash import simhash_groups
 from weirmark.llm.token_files import token_digests
 from weirmark.llm.url_rules import url_verdicts
@@ -31,6 +32,10 @@ def op4_lz_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
     "op4_lz_prints": op4_lz_prints,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_model": op6_language_model,
     "op7_url_rules": op7_url_rules,
     "op9_repeats": op9_repeats,
