@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weirmark.llm.common import table
 from weirmark.llm.language_model import language_scores
 from weirmark.llm.lz_prints import edited_likeness
+from weirmark.llm.pieces import segmentation_digests
 from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
 from weirmark.llm.rule_ensemble import quality_scores
@@ -28,6 +29,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_lz_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
+    "op3_pieces": op3_pieces,
     "op4_lz_prints": op4_lz_prints,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_model": op6_language_model,
