@@ -128,7 +128,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             if len(found) > COUNTED:
                 yield rows()
                 found.clear()
-        yield rows()
+        if found:
+            yield rows()
 
     counted = texts.select("text").mapInPandas(count, "word string, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))

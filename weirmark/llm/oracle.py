@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from weirmark.llm import mixing
 from weirmark.llm import quality_rules as quality
 from weirmark.llm import url_rules as urls
 
@@ -95,7 +96,47 @@ FROM best
 """
 
 
+def op8_mixing() -> str:
+    topic = re.sub(r"text RLIKE ('[^']*')", r"regexp_matches(text, \1)", mixing.TOPIC)
+    steps, last = [], "start"
+    for target in mixing.TARGETS:
+        wish = " ".join(f"WHEN '{v}' THEN {float(times)!r}" for v, times in target.preference)
+        wish = f"CASE {target.column} {wish} ELSE 1.0 END" if wish else "1.0"
+        steps.append(
+            f"t_{target.column} AS (SELECT {target.column}, p / sum(p) OVER () AS t FROM (SELECT {target.column},"
+            f" pow(CAST(sum(tokens) AS DOUBLE), {target.temper!r}) * {wish} AS p FROM cells GROUP BY {target.column}))"
+        )
+    for turn in range(mixing.ROUNDS):
+        for c in (target.column for target in mixing.TARGETS):
+            now = f"w_{turn}_{c}"
+            steps.append(
+                f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * (t / sum(w) OVER (PARTITION BY {c})) AS w"
+                f" FROM {last} JOIN t_{c} USING ({c}))"
+            )
+            last = now
+    return rf"""
+WITH src AS (
+  SELECT doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang,
+    coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')) AS n_tokens
+  FROM documents
+), marked AS (SELECT doc_id, source, lang, n_tokens, {topic} AS topic FROM src
+), cells AS (
+  SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM marked WHERE n_tokens > 0 GROUP BY ALL
+), start AS (SELECT *, tokens AS w FROM cells
+), {", ".join(steps)}, rates AS (
+  SELECT source, lang, topic, w * (SELECT sum(tokens) FROM cells) / tokens AS rate FROM {last}
+), found AS (
+  SELECT m.*, rate, CASE WHEN n_tokens > 0 THEN rate / (SELECT max(rate) FROM rates) ELSE 0 END AS p
+  FROM marked m LEFT JOIN rates USING (source, lang, topic)
+)
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, round(p, 6) AS probability,
+  CAST('0x' || substr(md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
+FROM found
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": op1_quality_rules(),
+    "op8_mixing": op8_mixing(),
     "op7_url_rules": op7_url_rules(),
 }

@@ -158,12 +158,10 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
 
     A blank is put in front, as SentencePiece does; nothing else is normalised, so
     ``decoded`` equals the text. Null and empty texts have no ids, one path and score 0.
-    Rows are encoded each for itself; all columns are handed through, so ``docs`` may
-    not have columns of the four names; an empty table gives no rows.
+    Rows are encoded each for itself; all columns are handed through, but those of the four
+    names are replaced; an empty table gives no rows.
     """
-    clash = {"ids", "scores", "others", "decoded"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
+    docs = docs.drop("ids", "scores", "others", "decoded")
     added = "ids binary, scores array<double>, others array<binary>, decoded string"
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [added])
 
@@ -173,7 +171,7 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
         for frame in frames:
             sizes = np.cumsum([len(t) if t else 0 for t in frame["text"]]) // PART
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frame)]
-            for a, b in zip(cuts, cuts[1:]):
+            for a, b in zip(cuts, cuts[1:] if len(frame) else []):
                 part = frame.iloc[a:b]
                 found = [encoder.encode(t or "") for t in part["text"]]
                 best = [paths[0][1] for paths in found]
@@ -189,6 +187,7 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     """``rows`` with ``decoded``: the text of ``ids`` (null: null)."""
+    rows = rows.drop("decoded")
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["decoded string"])
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weirmark.llm.common import table
 from weirmark.llm.language_model import language_scores
 from weirmark.llm.lz_prints import edited_likeness
+from weirmark.llm.mixing import mixed
 from weirmark.llm.pieces import segmentation_digests
 from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
@@ -49,6 +50,19 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), only=["doc_id"]).select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("_rate", 6).alias("rate"),
+        F.round("_p", 6).alias("probability"),
+        F.col("_kept").alias("kept"),
+    )
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeated_bytes_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -66,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_language_model": op6_language_model,
     "op7_url_rules": op7_url_rules,
+    "op8_mixing": op8_mixing,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
 }

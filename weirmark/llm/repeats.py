@@ -273,14 +273,18 @@ def _rank_windows(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "answer": answers})
 
 
-def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced by ``kept`` (the bytes left), ``n_bytes, n_removed, n_spans``.
 
+    ``as_text``: ``kept`` is a string, without the parts of characters that a cut left over.
+
     A byte goes if a ``length``-byte string that covers it also starts elsewhere, in the same or
     another row; strings are judged on the input and never cross documents. A null text is empty.
     Rows that repeat a doc_id count as documents of their own; the other columns,
-    null or not, are handed through; an empty table gives no rows.
+    null or not, are handed through, but those of the four names are replaced; an empty table
+    gives no rows.
     """
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     spark = docs.sparkSession
     rest = T.StructType([f for f in docs.schema.fields if f.name != "text"])
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -299,13 +303,14 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 fields = pairs.near[pairs.sent], pairs.whole[pairs.sent], pairs.count[pairs.sent].astype(np.uint64)
                 cut = _cut(pairs.bucket)
                 names = [np.concatenate([x[s] for x in fields]).tobytes() for _, s in cut]
-                yield pd.DataFrame({"block": [block] * len(cut), "bucket": [b for b, _ in cut], "names": names})
+                if cut:
+                    yield pd.DataFrame({"block": [block] * len(cut), "bucket": [b for b, _ in cut], "names": names})
 
     def answers_of(frame: pd.DataFrame) -> dict[int, bytes]:
         return {int(b): bytes(a) for b, a in zip(frame["bucket"], frame["answer"])}
 
     def send_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sent = [pd.DataFrame({"block": [], "bucket": [], "names": [], "twice": []})]
+        sent = [pd.DataFrame({"block": [], "bucket": [], "names": [], "twice": []}, dtype=object)]
         for block, ends, data in zip(left["block"], left["ends"], left["data"]):
             work = _Block(data, ends, length, buckets)
             values, twice, _, bucket = work.distinct(work.open_windows(answers_of(right))[2])
@@ -317,10 +322,11 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         "bucket": [b for b, _ in cut],
                         "names": [values[s].tobytes() for _, s in cut],
                         "twice": [np.packbits(twice[s], bitorder="little").tobytes() for _, s in cut],
-                    }
+                    },
+                    dtype=object,
                 )
             )
-        return pd.concat(sent[1:] or sent)
+        return pd.concat(sent)
 
     def cut_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -332,9 +338,10 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 lost = gone[begin:end]
                 spans = int(np.count_nonzero(lost[1:] & ~lost[:-1]) + lost[:1].sum())
                 kept = np.frombuffer(data, np.uint8)[begin:end][~lost].tobytes()
+                kept = kept.decode("utf-8", "ignore") if as_text else kept
                 rows.append((other, end - begin, int(lost.sum()), spans, kept))
                 begin = end
-        return pd.DataFrame(rows, columns=["rest", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pd.DataFrame(rows, columns=["rest", "n_bytes", "n_removed", "n_spans", "kept"], dtype=object)
 
     answer = "block long, bucket long, answer binary"
     runs = blocks.select("block", "ends", "data").mapInPandas(send_runs, "block long, bucket long, names binary")
@@ -350,7 +357,7 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     out = (
         blocks.groupBy("block")
         .cogroup(both.groupBy("block"))
-        .applyInPandas(cut_out, "rest string, n_bytes long, n_removed long, n_spans long, kept binary")
+        .applyInPandas(cut_out, f"rest string, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     )
     return out.select(F.from_json("rest", rest).alias("rest"), "kept", "n_bytes", "n_removed", "n_spans").select(
         "rest.*", "kept", "n_bytes", "n_removed", "n_spans"

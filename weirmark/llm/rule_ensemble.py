@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import WORD, id_remainder, stored, whole_text
+from weirmark.llm.common import WORD, id_remainder, whole_text
 
 #: Most labelled rows that the model is fitted to; chosen by the hash of their id.
 SAMPLE = 12_000
@@ -211,37 +211,49 @@ def fit(values: np.ndarray, labels: np.ndarray, seed: int = 1) -> RuleModel:
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the columns of ``STATISTICS``, never null, for each row."""
-    text = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
+    """``row`` (all columns of ``docs``) and the columns of ``STATISTICS``, never null."""
+    text = docs.select(F.struct("*").alias("row"), whole_text(F.col("text")).alias("text"))
     parts = text.select(
-        "doc_id",
+        "row",
         "text",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("l"),
     )
-    counted = parts.select("doc_id", *(F.expr(sql).alias(name) for name, sql in _COUNTED.items()))
-    return counted.select("doc_id", *(F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()))
+    counted = parts.select("row", *(F.expr(sql).alias(name) for name, sql in _COUNTED.items()))
+    return counted.select("row", *(F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()))
 
 
-def train(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """Fit to at most ``sample`` labelled rows outside the held-out fold; a document with a label 0 is of class 0."""
     marks = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.where(id_remainder(F.col("doc_id"), FOLDS) != HELD_FOLD)
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics.join(chosen, "doc_id").orderBy("doc_id", *STATISTICS).limit(sample).toPandas()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    rows = text_statistics(labelled).select("row.doc_id", "row.quality", *STATISTICS)
+    rows = rows.orderBy("doc_id", *STATISTICS).limit(sample).toPandas()
     return fit(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["quality"].to_numpy(float))
 
 
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``score`` and ``predicted`` (1 if the score is ``ACCEPT`` or more)."""
+    model = train(docs, labels.select("doc_id", "quality"), sample)
+    out = text_statistics(docs).select("row", model.column().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be of class 1."""
+    return scored(docs, labels, sample).where("predicted = 1").select("row.*")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted`` (1 if the score is ``ACCEPT`` or more).
+    """One row per document: ``doc_id, held_out, score, predicted``.
 
     Labels with ``crc32(doc_id as text) mod FOLDS == HELD_FOLD`` are never learnt from. Null and empty
     texts are scored by their statistics, all zero. Rows that repeat a doc_id are
     scored each; only ``doc_id, text`` and ``doc_id, quality`` are read; an empty
     table gives no rows, and without labels every document scores 0.9.
     """
-    statistics = stored(text_statistics(docs), "text-statistics")
-    model = train(statistics, labels.select("doc_id", "quality"), sample)
-    return statistics.select(
-        "doc_id", (id_remainder(F.col("doc_id"), FOLDS) == HELD_FOLD).alias("held_out"), model.column().alias("score")
-    ).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+    out = scored(docs.select("doc_id", "text"), labels, sample)
+    held = id_remainder(F.col("row.doc_id"), FOLDS) == HELD_FOLD
+    return out.select("row.doc_id", held.alias("held_out"), "score", "predicted")

@@ -74,27 +74,42 @@ def fold(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def text_prints(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Fingerprints, as signed longs; about ``PART`` bytes are hashed at once."""
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash of each hash; turn 0 leaves them."""
+    if not turn:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(2 * turn + 1) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def text_prints(texts: list[bytes], shingle: int, number: int = 1) -> list[np.ndarray]:
+    """``number`` fingerprints of each text, as signed longs; about ``PART`` bytes are hashed at once.
+
+    The first is that of the hashes themselves, the others of the hashes mixed anew.
+    """
     sizes = np.cumsum([len(t) for t in texts]) // PART
-    out = []
+    out: list[list[int]] = [[] for _ in range(number)]
     for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
         hashes, counts = shingle_hashes([texts[i] for i in part], shingle)
-        out += [fold(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(part) else []
-    return np.array(out, "<u8").view("<i8")
+        for k in range(number if len(part) else 0):
+            out[k] += [fold(x) for x in np.split(remixed(hashes, k), np.cumsum(counts)[:-1])]
+    return [np.array(x, "<u8").view("<i8") for x in out]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fingerprint`` (a signed long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", number: int = 1) -> DataFrame:
+    """``key`` and ``fingerprint`` (a signed long; further ones ``fingerprint1`` ...) of every row; null text is empty."""
+    names = ["fingerprint"] + [f"fingerprint{k}" for k in range(1, number)]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            prints = text_prints([bytes(t) for t in frame["text"]], shingle)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fingerprint": prints})
+            prints = text_prints([bytes(t) for t in frame["text"]], shingle, number)
+            yield pd.DataFrame({key: frame[key], **dict(zip(names, prints))})
 
-    slim = docs.select("doc_id", whole_text(F.col("text")).cast("binary").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(batches, f"doc_id {kind}, fingerprint long")
+    slim = docs.select(key, whole_text(F.col("text")).cast("binary").alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    return slim.mapInPandas(batches, ", ".join([f"{key} {kind}"] + [f"{name} long" for name in names]))
 
 
 # ---------------------------------------------------------------- trie join
@@ -259,20 +274,35 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def grouped(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for rows ``doc_id, fingerprint``.
+def grouped(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, number: int = 1) -> DataFrame:
+    """``key, fingerprint, component_id`` for rows ``key, fingerprint`` (and ``fingerprint1`` ...).
 
-    Equal fingerprints are one trie leaf, so a large group of copies costs one
-    row. ``component_id`` is the smallest doc_id of the component (null only
-    if all its ids are null).
+    Rows are linked if any of their ``number`` fingerprints are near. Equal rows are one
+    trie leaf, so a large group of copies costs one row. ``component_id`` is
+    the smallest key of the component (null only if all its keys are null).
     """
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "fingerprints")
-    tied = components(links(distinct, max_bits))
-    named = distinct.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+    names = ["fingerprint"] + [f"fingerprint{k}" for k in range(1, number)]
+    distinct = stored(prints.groupBy(*names).agg(F.min(key).alias("least")), "fingerprints")
+    edges = None
+    for name in names:
+        if name == "fingerprint":
+            found = links(distinct.select("fingerprint").distinct() if number > 1 else distinct, max_bits)
+        else:  # from the values of this fingerprint to those of the first
+            to = stored(distinct.groupBy(name).agg(F.min("fingerprint").alias("node")), "nodes")
+            near = links(to.select(F.col(name).alias("fingerprint")), max_bits)
+            near = near.join(to.select(F.col(name).alias("a"), F.col("node").alias("x")), "a")
+            near = near.join(to.select(F.col(name).alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+            same = distinct.select(name, "fingerprint").join(to, name).where("fingerprint <> node")
+            found = near.union(same.select("fingerprint", "node")).toDF("a", "b")
+        edges = found if edges is None else edges.union(found)
+    tied = components(edges)
+    firsts = distinct.groupBy("fingerprint").agg(F.min("least").alias("least")) if number > 1 else distinct
+    named = firsts.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint")
     )
-    smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = named.join(smallest, "root").select("fingerprint", "component_id")
+    return prints.select(key, "fingerprint").join(found, "fingerprint")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -283,8 +313,23 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     columns of ``docs`` are not read.
     """
     prints = stored(fingerprints(docs, shingle), "prints")
-    return grouped(prints, max_bits).select(
+    return grouped(prints, max_bits=max_bits).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def deduplicated(docs: DataFrame, shingle: int, max_bits: int, number: int) -> DataFrame:
+    """One row of ``docs`` of each group of near copies: that of the smallest doc_id (null last).
+
+    Rows of equal or null doc_id are told apart by a number given when the table is
+    stored; texts without a word are copies of each other.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    prints = stored(fingerprints(rows, shingle, "_row", number), "prints")
+    groups = grouped(prints, "_row", max_bits, number).select("_row", "component_id")
+    ranked = rows.select("doc_id", "_row").join(groups, "_row")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = ranked.groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").drop("_row")
