@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +53,38 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 def whole_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, once in each Python worker: later tasks of the process find it again.
+
+    Functions travel by value, so their module's globals do not outlive a task.
+    """
+    kept = sys.modules.setdefault("weirmark_worker", types.ModuleType("weirmark_worker"))
+    store = kept.__dict__.setdefault("store", {})
+    if key not in store:
+        store.clear()  # one large object at a time
+        store[key] = make()
+    return store[key]
+
+
+class Remembered(dict):
+    """The latest ``limit`` to ``2 * limit`` entries used; ``refresh`` before a look-up."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def refresh(self, keys: set) -> list:
+        """Make known ``keys`` present; returns the unknown ones."""
+        missing = []
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        for key in [k for k in keys if k not in self]:
+            value = self.older.get(key)
+            if value is None:
+                missing.append(key)
+            else:
+                self[key] = value
+        return missing

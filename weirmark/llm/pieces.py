@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import whole_text
+from weirmark.llm.common import Remembered, per_worker, whole_text
 
 N_BEST = 3
 BLANK = "▁"
@@ -87,24 +87,31 @@ class Pieces:
     def best(self, chunk: str, n: int) -> list[Path]:
         """The n best paths through a chunk's lattice, best first; fewer if there are no more."""
         edges = self.edges(chunk)
-        ahead = [0.0] + [-np.inf] * len(chunk)
-        for end in range(1, len(chunk) + 1):
-            ahead[end] = max(ahead[start] + score for start, score, _ in edges[end])
-        turn, found = count(), []
-        agenda = [(-ahead[-1], next(turn), len(chunk), 0.0, None)]
-        while agenda and len(found) < n:
-            _, _, place, behind, path = heapq.heappop(agenda)
-            if place == 0:
-                ids: list[int] = []
-                while path is not None:
-                    ids += path[0]
-                    path = path[1]
-                found.append(Path(behind, tuple(ids)))
-                continue
-            for start, score, piece in edges[place]:
-                total = behind + score
-                heapq.heappush(agenda, (-(total + ahead[start]), next(turn), start, total, (piece, path)))
-        return found
+        ahead, ranked = [0.0], [[]]  # best score up to each place; its edges, best first
+        for ends in edges[1:]:
+            found = [(ahead[start] + score, start, score, ids) for start, score, ids in ends]
+            found.sort(key=lambda edge: -edge[0])
+            ahead.append(found[0][0])
+            ranked.append(found)
+        # An entry extends a suffix by the edge of a rank at its place; first out is the one
+        # with the best whole path. The best edges that follow need no agenda.
+        turn, paths = count(), []
+        agenda = [(-ahead[-1], next(turn), len(chunk), 0, 0.0, None)]
+        while agenda and len(paths) < n:
+            _, _, place, rank, behind, path = heapq.heappop(agenda)
+            while place:
+                choices = ranked[place]
+                if rank + 1 < len(choices):
+                    whole = behind + choices[rank + 1][0]
+                    heapq.heappush(agenda, (-whole, next(turn), place, rank + 1, behind, path))
+                _, start, score, piece = choices[rank]
+                place, rank, behind, path = start, 0, behind + score, (piece, path)
+            ids: list[int] = []
+            while path is not None:
+                ids += path[0]
+                path = path[1]
+            paths.append(Path(behind, tuple(ids)))
+        return paths
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank added in front goes. Bytes that are no UTF-8 become U+FFFD."""
@@ -114,22 +121,17 @@ class Pieces:
 class Encoder:
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
-        self.known: dict[str, tuple[list[Path], bytes]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[list[Path], bytes]:
-        hit = self.known.get(chunk)
-        if hit is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            paths = self.pieces.best(chunk, self.n)
-            hit = self.known[chunk] = paths, np.array(paths[0].ids, "<u4").tobytes()
-        return hit
+        self.known = Remembered(REMEMBERED)
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of ``text``: score and ids (little-endian, unsigned 32 bits), best first."""
         if not text:
             return [(0.0, b"")]
-        chunks = [self._chunk(c) for c in _CHUNKS.findall(" " + text)]
+        parts = _CHUNKS.findall(" " + text)
+        for chunk in self.known.refresh(set(parts)):
+            paths = self.pieces.best(chunk, self.n)
+            self.known[chunk] = paths, np.array(paths[0].ids, "<u4").tobytes()
+        chunks = [self.known[c] for c in parts]
         ids = [best for _, best in chunks]
         top = float(sum(paths[0].score for paths, _ in chunks))
         loss = np.array([paths[0].score - paths[1].score if len(paths) > 1 else np.inf for paths, _ in chunks])
@@ -166,8 +168,8 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [added])
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_file)
-        encoder = Encoder(pieces, n)
+        encoder = per_worker(("pieces", model_file, n), lambda: Encoder(Pieces(model_file), n))
+        pieces = encoder.pieces
         for frame in frames:
             sizes = np.cumsum([len(t) if t else 0 for t in frame["text"]]) // PART
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frame)]

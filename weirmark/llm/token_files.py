@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import fresh_folder, stored, whole_text
+from weirmark.llm.common import Remembered, fresh_folder, per_worker, stored, whole_text
 
 #: Appended to each document.
 END_ID = 1
@@ -139,15 +139,12 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[str, bytes] = {"": b""}
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.known = Remembered(REMEMBERED)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list({p for some in pieces for p in some if p not in self.known})
-        if len(new) + len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-            new = list({p for some in pieces for p in some if p})
+        new = self.known.refresh(set().union(*pieces))
         for found, p in zip(self.encode(new, add_special_tokens=False), new):
             self.known[p] = np.array(found.ids, "<u4").tobytes()
         get = self.known.__getitem__
@@ -169,7 +166,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         for frame in frames:
             if writer is None and len(frame):
                 path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
-                encoder, writer = _Encoder(tokenizer), TokenFileWriter(path)
+                encoder = per_worker(("tokens", tokenizer), lambda: _Encoder(tokenizer))
+                writer = TokenFileWriter(path)
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             for at in range(0, len(texts), 256):
                 for doc_id, found in zip(ids[at : at + 256], encoder.ids(texts[at : at + 256])):
