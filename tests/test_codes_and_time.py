@@ -34,7 +34,7 @@ def test_names_fall_back_to_numbers(spark):
 def test_forwarding_status(spark):
     assert [one(spark, codes.forwarding_status_name("x"), x=f"{v}L") for v in (0, 64, 128, 192, 256)] == [
         "UNKNOWN", "FORWARDED", "DROPPED", "CONSUMED", "256"]
-    for fix, want in (("dropped", "DROPPED"), ("reference", "UNKNOWN")):
+    for fix, want in (("dropped", "DROPPED"), ("bare_state", "UNKNOWN")):
         status = codes.effective_forwarding_status("s", "hop", "o", fix)
         assert one(spark, codes.forwarding_status_name(status), s="64L", hop="true", o="0L") == want
         assert one(spark, codes.forwarding_status_name(status), s="64L", hop="true", o="1L") == "FORWARDED"

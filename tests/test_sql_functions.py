@@ -6,7 +6,8 @@ def test_sql_functions(spark):
     row = spark.sql(
         "SELECT ip_text(X'0A010203'), ip_text(unhex(concat('20010db8', repeat('00', 11), '01'))),"
         " hex(ip_key(X'0A010203')), flow_type_name(4), ether_type_name(2048), tcp_flag_name(2),"
-        " tcp_flags_text(18), forwarding_status_name(128), zscore_limit('low')"
+        " tcp_flags_text(18), forwarding_status_name(128), zscore_limit('low'),"
+        " protocol_name(17), protocol_name(251)"
     ).first()
     assert tuple(row) == ("10.1.2.3", "2001:db8::1", "00" * 12 + "0A010203", "IPFIX", "IPv4", "SYN",
-                          "SYN+ACK", "DROPPED", 5)
+                          "SYN+ACK", "DROPPED", 5, "UDP", "251")

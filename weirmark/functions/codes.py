@@ -95,10 +95,10 @@ def effective_forwarding_status(
     """Exporters that report discards as "no next hop, interface 0".
 
     ``discard_fix="dropped"`` yields a status that reads as DROPPED.
-    ``discard_fix="reference"`` substitutes the bare state number, which the
+    ``discard_fix="bare_state"`` substitutes the bare state number, which the
     two-bit shift then reads as UNKNOWN.
     """
-    substitute = {"dropped": _DISCARDED << 6, "reference": _DISCARDED}[discard_fix]
+    substitute = {"dropped": _DISCARDED << 6, "bare_state": _DISCARDED}[discard_fix]
     return f"(CASE WHEN {next_hop_is_empty} AND {out_if} = 0 THEN {substitute} ELSE {status} END)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from weirmark.functions import codes, ip
+from weirmark.sources.dims import read_protocols
 
 # name: (argument type, result type, expression builder)
 FUNCTIONS = {
@@ -19,8 +20,18 @@ FUNCTIONS = {
 }
 
 
+def protocol_name(spark: SparkSession) -> str:
+    """Expression for the name of protocol ``x``; at most 256 numbers have one."""
+    names = {r["proto"]: r["name"] for r in read_protocols(spark).collect()}
+    return codes.value_map("x", names, "CAST(x AS STRING)")
+
+
 def register(spark: SparkSession) -> None:
     """Create the functions in the session, e.g. ``SELECT ip_text(dst_addr)``."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION protocol_name(x INT)"
+        f" RETURNS STRING RETURN {protocol_name(spark)}"
+    )
     for name, (argument, result, build) in FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x {argument})"

@@ -34,7 +34,7 @@ BURST_MINUTES = 5
 BASELINE_DAYS = 7
 CHUNK_MINUTES = 1440
 
-_BPS = "bytes * 8 / 60"
+_BPS = "CAST(bytes AS DOUBLE) * 8 / 60"
 _PPS = "packets / 60"
 _FPS = "flows / 60"
 
@@ -91,7 +91,7 @@ def _chunked(rollup: DataFrame, keys: list[str], lookback: int, chunk: int) -> D
         .withColumn("_chunk", F.explode(F.expr(f"sequence({own}, {last})")))
         .repartition(*keys, "_chunk")
         .groupBy(*keys, "_chunk", "_m")
-        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .agg(*[F.try_sum(c).alias(c) for c in SUMS])
     )
 
 
@@ -129,6 +129,14 @@ def _own_minutes(df: DataFrame, start: int | None, end: int | None, chunk: int)
 
 # --- static thresholds ---
 
+
+def never_firing(rules: DataFrame, max_duration: int = MAX_DURATION) -> DataFrame:
+    """Threshold rules that look back further than ``max_duration`` lets them, and so never fire.
+
+    A window of ``max_duration`` minutes holds that many rows and the running minute.
+    """
+    return rules.filter(f"type = 'threshold' AND duration > {max_duration + 1}")
+
 _STATIC = ["id", "prefix", "bandwidth_alert", "peak_bps", "packet_alert", "peak_pps"]
 
 

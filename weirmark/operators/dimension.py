@@ -99,26 +99,43 @@ def check_routers(routers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return canonical.drop("_ip"), rejected.drop("_ip")
 
 
+def _addressed(routers: DataFrame) -> DataFrame:
+    """With the parsed address, which is the same for all its spellings."""
+    return routers.withColumn("_ip", F.expr(ip.parse_ip("router_ip")))
+
+
 def router_conflicts(routers: DataFrame) -> DataFrame:
-    """Addresses held by more than one router."""
+    """Addresses held by more than one router, however they are spelled."""
     return (
-        routers.groupBy("router_ip")
+        _addressed(routers)
+        .groupBy("_ip")
         .agg(F.count_distinct("id").alias("routers"), F.min("id").alias("first_id"))
-        .filter("routers > 1")
+        .filter("routers > 1 AND _ip IS NOT NULL")
+        .select(F.expr(ip.key_text("_ip.key", "_ip.family")).alias("router_ip"), "routers", "first_id")
     )
 
 
 def new_routers(
     current: DataFrame, changes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Changes whose address is free, and those another router already has."""
+    """Changes whose address is free, and those another router already has.
+
+    Of several routers that claim a free address, the one with the first
+    change by ``version`` (by id, if there is no such column) gets it.
+    """
     # the least and greatest holder decide: somebody else holds the address
     # unless both are the changed router itself
-    holders = current.groupBy("router_ip").agg(
+    holders = _addressed(current).groupBy("_ip").agg(
         F.min("id").alias("_least"), F.max("id").alias("_greatest")
     )
-    marked = lookup_join(changes, holders, ["router_ip"], "left").withColumn(
+    marked = lookup_join(_addressed(changes), holders, ["_ip"], "left").withColumn(
         "_taken", F.expr("coalesce(_least <> id OR _greatest <> id, false)")
     )
+    order = [c for c in ("version", "id") if c in changes.columns]
+    claims = marked.filter("NOT _taken AND _ip IS NOT NULL").groupBy("_ip")
+    winners = claims.agg(F.min_by("id", F.struct(*order)).alias("_winner"))
+    marked = lookup_join(marked, winners, ["_ip"], "left").withColumn(
+        "_taken", F.expr("_taken OR coalesce(_winner <> id, false)")
+    )
     marked = marked.select(*changes.columns, "_taken")
     return marked.filter("NOT _taken").drop("_taken"), marked.filter("_taken").drop("_taken")

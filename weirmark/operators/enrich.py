@@ -122,7 +122,3 @@ def enrich_flows(
 def out_of_range(raw: DataFrame) -> DataFrame:
     """Flows whose scaled totals do not fit 64 bits: the quarantine."""
     return raw.filter("total_bytes IS NULL OR total_packets IS NULL")
-
-
-def in_range(raw: DataFrame) -> DataFrame:
-    return raw.filter("total_bytes IS NOT NULL AND total_packets IS NOT NULL")

@@ -38,19 +38,29 @@ def rate_series(
     # whole numbers are summed first, so the result does not depend on order
     out = (
         rollup.groupBy(F.expr(slot_start("time_received", step)).alias("time"), series)
-        .agg(F.sum(measure).alias("_sum"))
-        .select("time", series, F.expr(f"_sum * {unit} / {step}").alias(rate))
+        .agg(F.try_sum(measure).alias("_sum"))
+        .select("time", series, F.expr(f"CAST(_sum AS DOUBLE) * {unit} / {step}").alias(rate))
     )
     return out.orderBy(series, "time") if ordered else out
 
 
 def series_to_columns(
-    series_rows: DataFrame, series: str, rate: str = "bps", names: list[str] | None = None
+    series_rows: DataFrame, series: str, rate: str, names: list[str]
 ) -> DataFrame:
-    """One column per series. Give ``names`` to save the pass that finds them."""
+    """One column for each of the series ``names``; for all series see :func:`series_points`."""
     return series_rows.groupBy("time").pivot(series, names).agg(F.sum(rate))
 
 
+def series_points(series_rows: DataFrame, series: str, rate: str = "bps") -> DataFrame:
+    """One row per series with its ``points`` (time and rate, in order).
+
+    A row holds a point per step, so the time range and step of
+    :func:`rate_series` bound it, however many series there are.
+    """
+    point = F.struct("time", rate)
+    return series_rows.groupBy(series).agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
 def series_summary(
     series_rows: DataFrame, series: str, rate: str = "bps", ordered: bool = True
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from weirmark.operators.detect import Moment
 # fixed values: seconds each table keeps
 KEEP = {
     "raw": 30 * DAY,
+    "raw_out_of_range": 30 * DAY,
     "prefixes_total_1m": 30 * DAY,
     "prefixes_src_profile_10m": 7 * DAY,
     "prefixes_proto_profile_1m": 30 * DAY,

@@ -1,7 +1,8 @@
 """Rollups of enriched flows and the daily baseline.
 
 Rollups are partial sums. They may be appended per micro-batch and are merged
-on read, so a late flow simply adds another partial to its old slot.
+on read, so a late flow simply adds another partial to its old slot. A sum that
+64 bits cannot hold is NULL; a flow whose own total is NULL still counts as a flow.
 """
 
 from __future__ import annotations
@@ -12,27 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmark.functions import ip, timeslot
-from weirmark.operators.enrich import in_range
 
 SUMS = ("bytes", "packets", "flows")
 
 
 def _sums() -> list[Column]:
     return [
-        F.sum("total_bytes").alias("bytes"),
-        F.sum("total_packets").alias("packets"),
+        F.try_sum("total_bytes").alias("bytes"),
+        F.try_sum("total_packets").alias("packets"),
         F.count(F.lit(1)).alias("flows"),
     ]
 
 
 def merge_partials(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add up rows with equal keys."""
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+    return df.groupBy(*keys).agg(*[F.try_sum(c).alias(c) for c in SUMS])
 
 
 def _per_prefix(raw: DataFrame, step: int, *columns: Column) -> DataFrame:
     """One row per flow and covering prefix; flows without a prefix vanish."""
-    return in_range(raw).select(
+    return raw.select(
         F.explode("prefixes").alias("prefix"),
         F.expr(timeslot.slot_start("time_received", step)).alias("time_received"),
         *columns,
@@ -155,7 +155,7 @@ def daily_baseline(profile: DataFrame, day: datetime | int | None = None) -> Dat
         profile.withColumn("_day", F.expr(timeslot.slot_start("time_received", timeslot.DAY)))
         .repartition(*keys)
         .groupBy(*keys, "time_received")
-        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .agg(*[F.try_sum(c).alias(c) for c in SUMS])
     )
     return (
         minutes.groupBy(*keys)

@@ -145,7 +145,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(CASE WHEN k % 5 <> 4 THEN 100000000 + k % 7 * 150000000 END AS BIGINT)"
         " AS bandwidth_threshold",
         "CAST(CASE WHEN k % 2 = 0 THEN 1500 + k % 5 * 1000 END AS BIGINT) AS packet_threshold",
-        "CAST(CASE WHEN k % 11 <> 10 THEN 1 + k % 4 END AS BIGINT) AS duration",
+        "CAST(CASE WHEN k % 11 = 10 THEN NULL WHEN k % 12 = 9 THEN array(30, 60, 61, 62)[k div 12 % 4]"
+        " ELSE 1 + k % 4 END AS BIGINT) AS duration",
         "CASE k % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END"
         " AS zscore_sensitivity",
         "CASE WHEN k % 2 = 0 THEN 'packets' ELSE 'bits' END AS zscore_target",

@@ -15,7 +15,6 @@ from weirmark.plans.queries import (
     BASE,
     ONE_PREFIX,
     RETENTION_NOW,
-    SERIES,
 )
 from weirmark.sources.dims import PROTOCOLS_CSV
 
@@ -89,7 +88,7 @@ rule AS (
     CASE k % 3 WHEN 0 THEN 'threshold' WHEN 1 THEN 'zscore' ELSE 'advanced_ddos' END AS type,
     CASE WHEN k % 5 <> 4 THEN 100000000 + k % 7 * 150000000 END AS bt,
     CASE WHEN k % 2 = 0 THEN 1500 + k % 5 * 1000 END AS pt,
-    CASE WHEN k % 11 <> 10 THEN 1 + k % 4 END AS d,
+    CASE WHEN k % 11 = 10 THEN NULL WHEN k % 12 = 9 THEN [30, 60, 61, 62][1 + k // 12 % 4] ELSE 1 + k % 4 END AS d,
     CASE k % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 4 END AS zlimit,
     CASE WHEN k % 2 = 0 THEN 'packets' ELSE 'bits' END AS target
   FROM sup),
@@ -422,7 +421,7 @@ FROM matched WHERE etype IN (2048, 34525) GROUP BY ALL""",
         "threshold_alert_screen": _with(
             *matched,
             _TOTALS,
-            _static(f"c.t = {_MINUTE_DENSE}", 2),
+            _static(f"c.t = {_MINUTE_DENSE}"),
             _ZSCORE.format(when=f"c.t = {_MINUTE_DENSE}"),
         )
         + """ SELECT a.id, type, r.name, prefix, peak_bps, peak_pps, bandwidth_alert, packet_alert
@@ -447,11 +446,9 @@ WHERE prefix = '{ONE_PREFIX}' GROUP BY ALL""",
         + """ SELECT prefix, min(bps) AS min, max(bps) AS max, round(quantile_cont(bps, 0.95), 3) AS p95,
   round(avg(bps), 3) AS mean, max_by(bps, m) AS last FROM rates GROUP BY prefix""",
         "series_pivot": totals
-        + f" SELECT {series('bps', 300)}, "
-        + ", ".join(
-            f"sum(bytes) FILTER (WHERE prefix = '{p}') * 8 / 300 AS \"{p}\"" for p in SERIES
-        )
-        + f" FROM totals WHERE prefix IN {SERIES} GROUP BY ALL",
+        + """ SELECT prefix, count(*) AS n_points,
+  string_agg(CAST(s AS VARCHAR) || '=' || CAST(floor(bps) AS BIGINT), ',' ORDER BY s) AS points
+FROM (SELECT prefix, m * 60 // 300 * 300 AS s, sum(bytes) * 8 / 300 AS bps FROM totals GROUP BY ALL) GROUP BY prefix""",
         "prefix_list": _with(_RULES) + " SELECT DISTINCT prefix FROM rp",
         "dim_upsert_latest": _with(flows, _UPSERT)
         + """ SELECT id, name, router_ip, default_sampling FROM (
@@ -488,9 +485,28 @@ WHERE id NOT IN (SELECT id FROM changes)""",
   SELECT id, '10.9.0.' || CASE WHEN id::INT % 3 = 0 THEN id::INT % 200 ELSE id::INT END AS router_ip
   FROM router) GROUP BY router_ip HAVING count(*) > 1""",
         "router_free_addresses": _with(flows, _UPSERT)
-        + """ SELECT id, router_ip, version,
-  EXISTS (SELECT 1 FROM router r WHERE r.router_ip = c.router_ip AND r.id <> c.id) AS taken
-FROM changes c""",
+        + """, claims AS (
+  SELECT id, version, CASE WHEN version % 3 = 0 THEN '2001:DB8:' || CASE WHEN version % 2 = 0 THEN ':' ELSE '0:0::' END
+      || CAST(version % 7 + 1 AS VARCHAR) ELSE router_ip END AS router_ip,
+    CASE WHEN version % 3 = 0 THEN 'v6 ' || CAST(version % 7 AS VARCHAR) ELSE router_ip END AS address FROM changes),
+held AS (
+  SELECT *, EXISTS (SELECT 1 FROM router r WHERE r.router_ip = c.address AND r.id <> c.id) AS held FROM claims c)
+SELECT id, router_ip, version, held OR EXISTS (
+    SELECT 1 FROM held o WHERE o.address = h.address AND NOT o.held AND o.id <> h.id
+    AND (o.version, o.id) = (SELECT min((version, id)) FROM held f WHERE f.address = h.address AND NOT f.held)) AS taken
+FROM held h""",
+        "stored_totals_merged": totals + f" SELECT {own} FROM totals",
+        "stream_equals_batch": totals + f" SELECT {own} FROM totals",
+        "baseline_job": _with(*weekly)
+        + " SELECT * EXCLUDE (day), day AS time_received FROM baseline",
+        "evaluation_log": _threshold_log(_static(), _ZSCORE.format(when="true"), "eval_time")
+        + f" WHERE eval_time BETWEEN make_timestamp({BASE}000000) AND make_timestamp({BASE + 172_800}000000)",
+        "rollup_with_out_of_range": _with(*matched)
+        + f""", large AS (
+  SELECT *, CASE WHEN n % 50 = 7 THEN NULL WHEN n % 10 = 3 THEN 5000000000000000000 ELSE total_bytes END AS b
+  FROM matched)
+SELECT prefix, {_slot(60)} AS time_received, TRY_CAST(sum(b) AS BIGINT) AS bytes,
+  CAST(sum(total_packets) AS BIGINT) AS packets, count(*) AS flows FROM large GROUP BY ALL""",
         "retention_30d": _with(natural, _RULES, _MATCHED, _TOTALS)
         + f""" SELECT {own} FROM totals
 WHERE date_trunc('day', time_received) + INTERVAL 30 DAY > make_timestamp({RETENTION_NOW}000000)""",

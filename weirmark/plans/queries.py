@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from weirmark.functions import codes, ip, timeslot
 from weirmark.operators import alerts, detect, dimension, enrich, prefix, report, retention, rollup
 from weirmark.plans import fixture as fx
 from weirmark.plans.fixture import BASE_US, DENSE, NATURAL
+from weirmark.session import checkpoint_folder
+from weirmark.sources import flows as sources
+from weirmark.sources.tables import Store
+from weirmark.streaming import pipeline
 
 BASE = BASE_US // 1_000_000
 AS_OF_DENSE = BASE + 603 * 60 + 17  # inside the dense spike
 AS_OF_NATURAL = BASE + (28 * 1440 + 5) * 60 + 5  # just inside the natural spike
 RETENTION_NOW = BASE + 40 * 86400 + 3600
-SERIES = ("10.0.0.0/16", "10.1.0.0/16", "10.2.0.0/16", "10.3.0.0/16")
 ONE_PREFIX = "10.0.0.0/8"
 
 
@@ -72,7 +77,7 @@ def enrich_sampling(spark: SparkSession, d: str) -> DataFrame:
 def flow_code_names(spark: SparkSession, d: str) -> DataFrame:
     flows, protocols = fx.flows(spark, d), fx.protocols(spark)
     raw_fix = codes.effective_forwarding_status(
-        "forwarding_status", ip.is_all_zero("next_hop"), "out_if", "reference"
+        "forwarding_status", ip.is_all_zero("next_hop"), "out_if", "bare_state"
     )
     return enrich.decode_names(flows, protocols).selectExpr(
         "sequence_num",
@@ -231,7 +236,7 @@ def threshold_alert_log_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_alert_screen(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.threshold_alerts(_totals(spark, d), fx.rules(spark, d), AS_OF_DENSE, 2)
+    return alerts.threshold_alerts(_totals(spark, d), fx.rules(spark, d), AS_OF_DENSE)
 
 
 def ddos_alert_log(spark: SparkSession, d: str) -> DataFrame:
@@ -279,9 +284,9 @@ def series_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def series_pivot(spark: SparkSession, d: str) -> DataFrame:
     series = report.rate_series(_totals(spark, d), "prefix", "bps", 300, ordered=False)
-    return report.series_to_columns(
-        series.filter(F.col("prefix").isin(*SERIES)), "prefix", "bps", list(SERIES)
-    )
+    points = report.series_points(series, "prefix")
+    text = "transform(points, p -> concat(unix_seconds(p.time), '=', CAST(floor(p.bps) AS BIGINT)))"
+    return points.selectExpr("prefix", "size(points) AS n_points", f"array_join({text}, ',') AS points")
 
 
 def prefix_list(spark: SparkSession, d: str) -> DataFrame:
@@ -359,7 +364,12 @@ def router_ip_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def router_free_addresses(spark: SparkSession, d: str) -> DataFrame:
-    free, taken = dimension.new_routers(fx.routers(spark, d), _router_changes(spark, d))
+    # every third change claims one of seven addresses, in two spellings
+    shared = "concat('2001:DB8:', CASE WHEN version % 2 = 0 THEN ':' ELSE '0:0::' END, lower(hex(version % 7 + 1)))"
+    changes = _router_changes(spark, d).withColumn(
+        "router_ip", F.expr(f"CASE WHEN version % 3 = 0 THEN {shared} ELSE router_ip END")
+    )
+    free, taken = dimension.new_routers(fx.routers(spark, d), changes)
     return free.selectExpr("id", "router_ip", "version", "false AS taken").unionByName(
         taken.selectExpr("id", "router_ip", "version", "true AS taken")
     )
@@ -372,6 +382,70 @@ def retention_30d(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# --- the live half, over a store of its own in the shared folder ---
+
+
+def _store(spark: SparkSession) -> Store:
+    store = Store(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.create()
+    return store
+
+
+def _dimensions(spark: SparkSession, d: str) -> pipeline.Dimensions:
+    return pipeline.Dimensions(
+        lambda: fx.routers(spark, d), lambda: fx.rules(spark, d), lambda: fx.protocols(spark)
+    )
+
+
+def stored_totals_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of seven parts, one of them written twice, after their days were merged."""
+    store, tagged = _store(spark), fx.tagged(spark, d)
+    for part in (*range(7), 3):
+        share = tagged.filter(f"sequence_num % 7 = {part}")
+        store.append("prefixes_total_1m", rollup.prefix_totals(share), part)
+    for day in (BASE // 86400, BASE // 86400 + 1):
+        store.merge_day("prefixes_total_1m", day)
+    return store.read("prefixes_total_1m").drop("date")
+
+
+def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Totals that the ingest stream leaves behind; the flows come in four files."""
+    store, folder = _store(spark), f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in range(4):
+        share = fx.flows(spark, d).filter(f"sequence_num % 4 = {part}").coalesce(1)
+        share.write.mode("append").parquet(f"{folder}/in")
+    flows = sources.file_flows(spark, f"{folder}/in", max_files=1)
+    dims = _dimensions(spark, d)
+    pipeline.start_ingest(flows, store, dims, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return rollup.merge_partials(store.read("prefixes_total_1m"), ["prefix", "time_received"])
+
+
+def baseline_job(spark: SparkSession, d: str) -> DataFrame:
+    """Baselines learnt day by day from stored partials."""
+    store, profile = _store(spark), _classes(spark, d, NATURAL)
+    for part in range(2):
+        store.append("prefixes_proto_profile_1m", profile.filter(f"pmod(hash(prefix), 2) = {part}"), part)
+    for day in range(30):
+        pipeline.learn_baseline(store, BASE + day * 86400)
+    return store.read("prefixes_proto_profile_1d").drop("date")
+
+
+def evaluation_log(spark: SparkSession, d: str) -> DataFrame:
+    """The stored log of an evaluation for every minute of two spans that meet."""
+    store, dims = _store(spark), _dimensions(spark, d)
+    store.append("prefixes_total_1m", _totals(spark, d), 0)
+    for start, end in ((BASE, BASE + 36_000 - 60), (BASE + 36_000, BASE + 172_800)):
+        pipeline.evaluate_span(store, dims, start, end)
+    return store.read("threshold_alerts").drop("date")
+
+
+def rollup_with_out_of_range(spark: SparkSession, d: str) -> DataFrame:
+    """Totals where some flows' bytes, and some minutes' sums, do not fit 64 bits."""
+    large = "CASE WHEN sequence_num % 50 = 7 THEN NULL WHEN sequence_num % 10 = 3 THEN 5000000000000000000L ELSE total_bytes END"
+    tagged = fx.tagged(spark, d).withColumn("total_bytes", F.expr(large))
+    return rollup.merge_partials(rollup.prefix_totals(tagged), ["prefix", "time_received"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -420,5 +494,10 @@ QUERIES = {
         router_ip_conflicts,
         router_free_addresses,
         retention_30d,
+        stored_totals_merged,
+        stream_equals_batch,
+        baseline_job,
+        evaluation_log,
+        rollup_with_out_of_range,
     )
 }

@@ -24,8 +24,10 @@ def local_session(cores: int | str = "*", name: str = "weirmark") -> SparkSessio
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where unset."""
+    """Shared folder the cluster names; a temporary one only in a single process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="weirmark-")
 
 
