@@ -99,7 +99,7 @@ def vocabulary():
 
 
 def all_paths(vocabulary, chunk):
-    edges = vocabulary.edges(chunk)
+    edges = [[(start, score, ids) for _, start, score, ids in ends] for ends in vocabulary.lattice(chunk)]
 
     def back(place, score, ids):
         if not place:

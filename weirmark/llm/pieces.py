@@ -35,7 +35,7 @@ FOREIGN = "\0"
 #: Added to the lowest score for a character without a piece, as SentencePiece does.
 UNKNOWN_PENALTY = -10.0
 #: Different chunks that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Bytes of text encoded at once.
 PART = 1 << 18
 _CHUNKS = re.compile(r" *[^ ]+| +")
@@ -66,37 +66,42 @@ class Pieces:
                     raise ValueError(f"piece {i} has a blank after another character")
                 self.piece[name] = i, model.get_score(i)
                 self.text[i] = name.replace(BLANK, " ").encode()
-        self.longest = max(map(len, self.piece), default=1)
-        self.unknown = min((s for _, s in self.piece.values()), default=0.0) + UNKNOWN_PENALTY
-
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place the pieces that end there: (start, score, ids)."""
+        self.unknown = min((score for _, score in self.piece.values()), default=0.0) + UNKNOWN_PENALTY
+        # each beginning of a piece; with the piece's ids and score if it is one itself
+        self.trie: dict[str, tuple] = {name[:k]: () for name in self.piece for k in range(1, len(name))}
+        self.trie |= {name: ((i,), score) for name, (i, score) in self.piece.items()}
+
+    def lattice(self, chunk: str) -> list[list[tuple[float, int, float, tuple[int, ...]]]]:
+        """For each place the pieces that end there, best first: best score up to there by way of
+        the piece, where it starts, its own score and ids."""
         shown = chunk.replace(BLANK, FOREIGN).replace(" ", BLANK)
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(shown) + 1)]
-        find = self.piece.get
-        for start in range(len(shown)):
-            for end in range(start + 1, min(len(shown), start + self.longest) + 1):
-                hit = find(shown[start:end])
-                if hit is not None:
-                    out[end].append((start, hit[1], (hit[0],)))
+        size, find = len(shown), self.trie.get
+        ends: list[list] = [[] for _ in range(size + 1)]
+        ahead = 0.0
+        for start in range(size):
+            if start:
+                ends[start].sort(key=lambda edge: -edge[0])
+                ahead = ends[start][0][0]
+            for end in range(start + 1, size + 1):
+                node = find(shown[start:end])
+                if node:
+                    ends[end].append((ahead + node[1], start, node[1], node[0]))
                 elif end == start + 1:
-                    data = chunk[start].encode()
-                    out[end].append((start, self.unknown, tuple(self.byte[b] for b in data)))
-        return out
+                    data = tuple(self.byte[b] for b in chunk[start].encode())
+                    if shown[start] not in self.piece:
+                        ends[end].append((ahead + self.unknown, start, self.unknown, data))
+                if node is None:
+                    break
+        ends[size].sort(key=lambda edge: -edge[0])
+        return ends
 
     def best(self, chunk: str, n: int) -> list[Path]:
         """The n best paths through a chunk's lattice, best first; fewer if there are no more."""
-        edges = self.edges(chunk)
-        ahead, ranked = [0.0], [[]]  # best score up to each place; its edges, best first
-        for ends in edges[1:]:
-            found = [(ahead[start] + score, start, score, ids) for start, score, ids in ends]
-            found.sort(key=lambda edge: -edge[0])
-            ahead.append(found[0][0])
-            ranked.append(found)
+        ranked = self.lattice(chunk)
         # An entry extends a suffix by the edge of a rank at its place; first out is the one
         # with the best whole path. The best edges that follow need no agenda.
         turn, paths = count(), []
-        agenda = [(-ahead[-1], next(turn), len(chunk), 0, 0.0, None)]
+        agenda = [(-ranked[-1][0][0], next(turn), len(chunk), 0, 0.0, None)]
         while agenda and len(paths) < n:
             _, _, place, rank, behind, path = heapq.heappop(agenda)
             while place:
@@ -119,28 +124,32 @@ class Pieces:
 
 
 class Encoder:
+    """Remembers of each chunk the best score, the loss to the second best, and the best ids."""
+
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
         self.known = Remembered(REMEMBERED)
 
+    def _best(self, chunk: str) -> tuple[float, float, bytes]:
+        paths = self.pieces.best(chunk, min(2, self.n))
+        loss = paths[0].score - paths[1].score if len(paths) > 1 else np.inf
+        return paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
+
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of ``text``: score and ids (little-endian, unsigned 32 bits), best first."""
         if not text:
             return [(0.0, b"")]
-        parts = _CHUNKS.findall(" " + text)
-        for chunk in self.known.refresh(set(parts)):
-            paths = self.pieces.best(chunk, self.n)
-            self.known[chunk] = paths, np.array(paths[0].ids, "<u4").tobytes()
-        chunks = [self.known[c] for c in parts]
-        ids = [best for _, best in chunks]
-        top = float(sum(paths[0].score for paths, _ in chunks))
-        loss = np.array([paths[0].score - paths[1].score if len(paths) > 1 else np.inf for paths, _ in chunks])
+        chunks = _CHUNKS.findall(" " + text)
+        for chunk in self.known.refresh(set(chunks)):
+            self.known[chunk] = self._best(chunk)
+        scores, losses, ids = zip(*map(self.known.__getitem__, chunks))
+        top, loss = float(sum(scores)), np.array(losses)
         order = np.argsort(loss, kind="stable")[: self.n - 1]
-        plans: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]  # loss, (chunk, path)
+        plans: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]  # loss, changed chunks
         for k in order[np.isfinite(loss[order])].tolist():
-            paths = chunks[k][0]
+            paths = self.pieces.best(chunks[k], self.n)
             plans = [
-                (lost + paths[0].score - path.score, changed + (((k, r),) if r else ()))
+                (lost + paths[0].score - path.score, changed + (((k, path.ids),) if r else ()))
                 for lost, changed in plans
                 for r, path in enumerate(paths)
             ]
@@ -148,8 +157,8 @@ class Encoder:
         out = []
         for lost, changed in plans:
             some = list(ids) if changed else ids
-            for k, r in changed:
-                some[k] = np.array(chunks[k][0][r].ids, "<u4").tobytes()
+            for k, other in changed:
+                some[k] = np.array(other, "<u4").tobytes()
             out.append((top - lost, b"".join(some)))
         return out
 
