@@ -152,7 +152,8 @@ def _match_by_address(
     """For prefix tables too large to broadcast (or too many lengths).
 
     Works on distinct addresses, whose partial aggregation absorbs a flood of
-    flows to one destination, and joins the result back with salted keys.
+    flows to one destination, and joins the result back by address; a destination
+    with much of the traffic is split by the adaptive skew join.
     """
     keys = ", ".join(
         f"struct({tag} AS _tag, {upper} AS _upper, {lower} AS _lower)"
@@ -180,7 +181,7 @@ def _match_by_address(
             F.flatten("_found._names").alias("_matched"),
         )
     )
-    joined = joins.lookup_join(df.withColumns(filled), found, list(filled), "left", small=False)
+    joined = df.withColumns(filled).join(found, list(filled), "left")
     return joined.withColumn(output, F.expr("coalesce(_matched, CAST(array() AS ARRAY<STRING>))"))
 
 

@@ -378,6 +378,16 @@ FROM flows LEFT JOIN (SELECT n, {_PREFIXES} AS p FROM matched GROUP BY n) USING
   {_HEX.format('hi')} AS end_hex FROM ranges""",
         "prefix_match_all": _with(*matched) + " " + match_rows,
         "prefix_match_shuffled": _with(*matched) + " " + match_rows,
+        "prefix_match_many_lengths": _with(flows)
+        + f""", many AS (
+  SELECT DISTINCT len, (167772160 + s_suppkey % 4 * 65536 + s_suppkey % 256 * 256 + s_suppkey % 7) // (1 << (32 - len))
+    * (1 << (32 - len)) AS net FROM supplier, (SELECT unnest(range(3, 33)) AS len)),
+hit AS (
+  SELECT n, len, net FROM flows JOIN many
+    ON NOT v6 AND CAST(dst_num AS BIGINT) // (1 << (32 - len)) * (1 << (32 - len)) = net)
+SELECT n AS sequence_num, count(len) AS n_prefixes,
+  coalesce(string_agg({_dotted('net')} || '/' || len, ' ' ORDER BY len), '') AS prefixes
+FROM flows LEFT JOIN hit USING (n) GROUP BY n""",
         "prefix_longest_match": _with(*matched)
         + """ SELECT n AS sequence_num, p AS prefix FROM flows
 LEFT JOIN (SELECT n, max_by(prefix, len) AS p FROM matched GROUP BY n) USING (n)""",

@@ -382,6 +382,22 @@ def retention_30d(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _many_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of every length from 3 to 32 in one column of prefixes."""
+    number = "(167772160 + k % 4 * 65536 + k % 256 * 256 + k % 7)"
+    lengths = fx.table(spark, d, "supplier").selectExpr("s_suppkey AS k", "explode(sequence(3, 32)) AS length")
+    net = lengths.selectExpr("length", f"shiftleft(shiftright({number}, 32 - length), 32 - length) AS net")
+    parts = ", '.', ".join(f"shiftright(net, {s}) % 256" for s in (24, 16, 8, 0))
+    return net.selectExpr(f"array(concat({parts}, '/', length)) AS prefixes")
+
+
+def prefix_match_many_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """More lengths than the chain of lookups takes, so the match goes by distinct address."""
+    index = prefix.index_prefixes(prefix.prefix_ranges(_many_prefixes(spark, d)))
+    found = prefix.match_prefixes(_keyed(spark, d), index, "dst_addr", "family")
+    return found.selectExpr("sequence_num", "size(prefixes) AS n_prefixes", "array_join(prefixes, ' ') AS prefixes")
+
+
 # --- the live half, over a store of its own in the shared folder ---
 
 
@@ -457,6 +473,7 @@ QUERIES = {
         cidr_ranges,
         prefix_match_all,
         prefix_match_shuffled,
+        prefix_match_many_lengths,
         prefix_longest_match,
         prefixes_by_address,
         prefix_totals_1m,

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,17 +59,20 @@ def kafka_flows(
     topic: str = "flows",
     starting_offsets: str = "latest",
     min_partitions: int | None = None,
+    max_offsets: int = 5_000_000,
 ) -> DataFrame:
     """Stream of Kafka records; needs the Kafka connector on the class path.
 
     The query's checkpoint takes the place of a consumer group.
-    ``min_partitions`` splits topic partitions further when there are few.
+    ``min_partitions`` splits topic partitions further when there are few;
+    ``max_offsets`` bounds a micro-batch, so that a backlog is read in several.
     """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting_offsets)
+        .option("maxOffsetsPerTrigger", max_offsets)
     )
     if min_partitions:
         reader = reader.option("minPartitions", min_partitions)
@@ -111,7 +113,7 @@ def descriptor_set() -> bytes:
 
 
 def message_class(descriptors: bytes):
-    """Python class of the message, for encoding and for the Arrow decoder."""
+    """Python class of the message, for producers and tests."""
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
     pool = descriptor_pool.DescriptorPool()
@@ -120,54 +122,26 @@ def message_class(descriptors: bytes):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"{PACKAGE}.{MESSAGE}"))
 
 
-def _has_connector(spark: SparkSession) -> bool:
-    """Whether Spark's protobuf functions are on the class path."""
-    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-    try:
-        loader.loadClass("org.apache.spark.sql.protobuf.ProtobufDataToCatalyst")
-        return True
-    except Exception:
-        return False
-
-
-def _arrow_decoder(descriptors: bytes):
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parse = message_class(descriptors).FromString
-        limit = 1 << 63
-        for batch in batches:
-            messages = [parse(value) for value in batch]
-            columns = {}
-            for name, (_, kind) in FIELDS.items():
-                values = [getattr(m, name) for m in messages]
-                if kind == "uint64":
-                    # same two's complement view as Spark's own decoder
-                    values = [v - (limit << 1) if v >= limit else v for v in values]
-                columns[name] = values
-            yield pd.DataFrame(columns)
-
-    return F.pandas_udf(decode, returnType=schema.FLOW)
+def from_descriptors(payload: Column) -> Column:
+    """Spark's own decoder; needs its protobuf module on the class path."""
+    from pyspark.sql.protobuf.functions import from_protobuf
 
+    return from_protobuf(
+        payload,
+        f"{PACKAGE}.{MESSAGE}",
+        options={"emit.default.values": "true"},
+        binaryDescriptorSet=descriptor_set(),
+    )
 
-def decode_flows(records: DataFrame, value: str = "value", framed: bool = True) -> DataFrame:
-    """Protobuf records to flow messages with the stored columns only.
 
-    Spark's ``from_protobuf`` does the work where its module is available, an
-    Arrow batch decoder otherwise.
-    """
-    spark = records.sparkSession
-    payload = F.expr(unframe(value) if framed else value)
-    descriptors = descriptor_set()
-    if _has_connector(spark):
-        from pyspark.sql.protobuf.functions import from_protobuf
-
-        message = from_protobuf(
-            payload,
-            f"{PACKAGE}.{MESSAGE}",
-            options={"emit.default.values": "true"},
-            binaryDescriptorSet=descriptors,
-        )
-    else:
-        message = _arrow_decoder(descriptors)(payload)
+def decode_flows(
+    records: DataFrame,
+    value: str = "value",
+    framed: bool = True,
+    decoder: Callable[[Column], Column] = from_descriptors,
+) -> DataFrame:
+    """Protobuf records to flow messages with the stored columns only."""
+    message = decoder(F.expr(unframe(value) if framed else value))
     decoded = records.select(message.alias("_flow")).select("_flow.*")
     return decoded.select(*[_as(f) for f in schema.FLOW.fields])
 
