@@ -117,9 +117,21 @@ def test_best_paths(vocabulary, chunk):
     assert len(set(found)) == len(found) and all(tuple(p) in every for p in found)
 
 
+def test_forward_scores(vocabulary, sf_docs):
+    chunks = {c for r in sf_docs.limit(60).collect() for c in pieces._CHUNKS.findall(" " + r["text"])}
+    chunks |= {" ", "\n", "▁▁", "日本", " \0", "    x", "x" * 60}
+    ordered = sorted(chunks)
+    for chunk, (score, loss, ids) in zip(ordered, vocabulary.forward(ordered)):
+        paths = vocabulary.best(chunk, 2)
+        assert (score, tuple(np.frombuffer(ids, "<u4").tolist())) == tuple(paths[0]), chunk
+        assert loss == (paths[0].score - paths[1].score if len(paths) > 1 else np.inf), chunk
+
+
 @pytest.mark.parametrize("text", ["hello big  world", "a b c", "x", " ", "no no no", "▁ é\n"])
 def test_best_paths_of_texts(vocabulary, text):
-    found = pieces.Encoder(vocabulary, 5).encode(text)
+    encoder = pieces.Encoder(vocabulary, 5)
+    encoder.learn([text, "other words"])
+    found = encoder.encode(text)
     assert [s for s, _ in found] == [s for s, _ in all_paths(vocabulary, " " + text)[:5]]
     assert len({i for _, i in found}) == len(found)
     assert all(vocabulary.decode(np.frombuffer(i, "<u4")) == text for _, i in found)

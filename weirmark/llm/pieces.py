@@ -6,10 +6,10 @@ each place. A search from the end back to the start uses these scores as its
 heuristic; they are exact, so A* meets complete paths in order of their scores
 (Nagata 1994), and the first N it completes are the N best.
 
-No piece of these vocabularies holds a blank after another character, so every path
-passes the places before blanks. The lattice is searched between two such places,
-a chunk (a word with the blanks before it) at a time, and each different chunk
-once. The N best paths of a text combine those of its chunks: of all chunks only the
+No piece of these vocabularies holds a blank after another character, or a line end, so
+every path passes the places before blanks and around line ends. The lattice is
+searched between two such places, a chunk (a word with the blanks before it) at
+a time, and the forward scores of many chunks are computed together. The N best paths of a text combine those of its chunks: of all chunks only the
 N - 1 with the smallest loss from best to second best can take part.
 """
 
@@ -37,8 +37,12 @@ UNKNOWN_PENALTY = -10.0
 #: Different chunks that a task remembers.
 REMEMBERED = 400_000
 #: Bytes of text encoded at once.
-PART = 1 << 18
-_CHUNKS = re.compile(r" *[^ ]+| +")
+PART = 1 << 19
+#: Chunks: a blank begins one, and so do a line end and what follows it.
+_CHUNKS = re.compile(r" *[^ \n]+| +|\n")
+#: Longest chunk that is searched together with others, and how many at once.
+WIDEST, TOGETHER = 48, 4096
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Path(NamedTuple):
@@ -62,14 +66,30 @@ class Pieces:
                 self.byte[int(name[3:5], 16)] = i
                 self.text[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i)):
-                if BLANK in name.lstrip(BLANK):
-                    raise ValueError(f"piece {i} has a blank after another character")
+                if BLANK in name.lstrip(BLANK) or "\n" in name:
+                    raise ValueError(f"piece {i} holds a line end, or a blank after another character")
                 self.piece[name] = i, model.get_score(i)
                 self.text[i] = name.replace(BLANK, " ").encode()
         self.unknown = min((score for _, score in self.piece.values()), default=0.0) + UNKNOWN_PENALTY
         # each beginning of a piece; with the piece's ids and score if it is one itself
         self.trie: dict[str, tuple] = {name[:k]: () for name in self.piece for k in range(1, len(name))}
         self.trie |= {name: ((i,), score) for name, (i, score) in self.piece.items()}
+        self.longest = max(map(len, self.piece), default=1)
+        names = list(self.piece)
+        hashes = np.array([self._hash(name) for name in names], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([self.piece[names[k]][0] for k in order], np.int64)
+        self.scores = np.array([self.piece[names[k]][1] for k in order])
+
+    @staticmethod
+    def _hash(name: str) -> np.uint64:
+        value = np.uint64(0)
+        with np.errstate(over="ignore"):
+            for c in name:
+                value = (value + np.uint64(ord(c) + 1)) * _FACTOR
+                value ^= value >> np.uint64(29)
+        return value
 
     def lattice(self, chunk: str) -> list[list[tuple[float, int, float, tuple[int, ...]]]]:
         """For each place the pieces that end there, best first: best score up to there by way of
@@ -95,6 +115,52 @@ class Pieces:
         ends[size].sort(key=lambda edge: -edge[0])
         return ends
 
+    def forward(self, chunks: list[str]) -> list[tuple[float, float, bytes]]:
+        """Of each chunk the best score, the loss to the second best and the best ids.
+
+        Forward scores of the two best paths to each place, for all chunks at once.
+        Among equal ones the longest last piece wins, as in :meth:`lattice`.
+        """
+        rows, width = len(chunks), max(map(len, chunks))
+        shown = [c.replace(BLANK, FOREIGN).replace(" ", BLANK) for c in chunks]
+        text = np.frombuffer("".join(x.ljust(width, FOREIGN) for x in shown).encode("utf-32-le"), "<u4")
+        text = text.reshape(rows, width).astype(np.uint64) + np.uint64(1)
+        sizes = np.array([len(c) for c in chunks])
+        hits = []  # by length: place in the table of the piece that starts at each place, or -1
+        with np.errstate(over="ignore"):
+            value = np.zeros((rows, width), np.uint64)
+            for length in range(1, min(self.longest, width) + 1):
+                value = (value[:, : width - length + 1] + text[:, length - 1 :]) * _FACTOR
+                value ^= value >> np.uint64(29)
+                at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+                hits.append(np.where(self.hashes[at] == value, at, -1))
+        first, second = (np.full((rows, width + 1), -np.inf) for _ in range(2))
+        first[:, 0] = 0
+        step, piece = (np.zeros((rows, width + 1), np.int64) for _ in range(2))
+        for end in range(1, width + 1):
+            a, b, by, chosen = first[:, end], second[:, end], step[:, end], piece[:, end]
+            for length in range(min(end, len(hits)), 0, -1):
+                hit = hits[length - 1][:, end - length]
+                score = np.where(hit >= 0, self.scores[hit], self.unknown if length == 1 else -np.inf)
+                x, y = first[:, end - length] + score, second[:, end - length] + score
+                better = x > a
+                b[:] = np.where(better, np.maximum(a, y), np.maximum(b, x))
+                a[better], by[better], chosen[better] = x[better], length, hit[better]
+        line = np.arange(rows)
+        place, found = sizes.copy(), []
+        while place.any():
+            found.append(np.where(place > 0, piece[line, place], -2))
+            place = np.maximum(place - np.where(place > 0, step[line, place], 0), 0)
+        table = np.stack(found[::-1], axis=1)
+        used = table != -2
+        ids = np.where(table >= 0, self.ids[table], 0).astype("<u4")
+        best, loss = first[line, sizes], first[line, sizes] - second[line, sizes]
+        flat, counts = ids[used], used.sum(axis=1)
+        parts = [x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        for k in np.flatnonzero((table == -1).any(axis=1)).tolist():  # characters without a piece
+            parts[k] = np.array(self.best(chunks[k], 1)[0].ids, "<u4").tobytes()
+        return list(zip(best.tolist(), loss.tolist(), parts))
+
     def best(self, chunk: str, n: int) -> list[Path]:
         """The n best paths through a chunk's lattice, best first; fewer if there are no more."""
         ranked = self.lattice(chunk)
@@ -130,18 +196,24 @@ class Encoder:
         self.pieces, self.n = pieces, n
         self.known = Remembered(REMEMBERED)
 
-    def _best(self, chunk: str) -> tuple[float, float, bytes]:
-        paths = self.pieces.best(chunk, min(2, self.n))
-        loss = paths[0].score - paths[1].score if len(paths) > 1 else np.inf
-        return paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
+    def learn(self, texts: list[str]) -> None:
+        """Remember the chunks of these texts."""
+        new = self.known.refresh({c for text in texts for c in _CHUNKS.findall(" " + text)})
+        new.sort(key=len)
+        while new and len(new[-1]) > WIDEST:
+            chunk = new.pop()
+            paths = self.pieces.best(chunk, 2)
+            loss = paths[0].score - paths[1].score if len(paths) > 1 else np.inf
+            self.known[chunk] = paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            self.known.update(zip(some, self.pieces.forward(some)))
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """The N best segmentations of ``text``: score and ids (little-endian, unsigned 32 bits), best first."""
+        """The N best segmentations of a learnt text: score and ids (little-endian, unsigned 32 bits), best first."""
         if not text:
             return [(0.0, b"")]
         chunks = _CHUNKS.findall(" " + text)
-        for chunk in self.known.refresh(set(chunks)):
-            self.known[chunk] = self._best(chunk)
         scores, losses, ids = zip(*map(self.known.__getitem__, chunks))
         top, loss = float(sum(scores)), np.array(losses)
         order = np.argsort(loss, kind="stable")[: self.n - 1]
@@ -184,7 +256,9 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frame)]
             for a, b in zip(cuts, cuts[1:] if len(frame) else []):
                 part = frame.iloc[a:b]
-                found = [encoder.encode(t or "") for t in part["text"]]
+                texts = [t or "" for t in part["text"]]
+                encoder.learn([t for t in texts if t])
+                found = [encoder.encode(t) for t in texts]
                 best = [paths[0][1] for paths in found]
                 yield part.assign(
                     ids=best,
