@@ -180,5 +180,5 @@ def test_series(spark):
     assert [r.pps for r in report.rate_series(df, "prefix", "pps", 60, T0, T0 + 60).collect()] == [1.0, 1.0]
     got = report.series_summary(report.rate_series(df, "prefix"), "prefix").first()
     assert (got["min"], got["max"], got["last"]) == (8.0, 160.0, 8.0)
-    wide = report.series_to_columns(series, "prefix")
+    wide = report.series_to_columns(series, "prefix", "bps", [P])
     assert wide.columns == ["time", P]
