@@ -30,6 +30,7 @@ def test_pieces_of_text_encode_as_the_whole():
     texts = [
         "It's  THE\tbest x y\n\n don't 're '", "é ́e", "a<|endoftext|>b <|startoftext|>",
         "Σας ΣΑΣ İi", " \n ", "", "12,345.67!! ½ ²", "日本語 テスト。", "a\u0085b\x1cc\x0bd", "x" * 5000,
+        "The end. THE END! Été, ÉTÉ; J\u030c, Ab.Cd a_. 9. x|. <|EndOfText|>! don'T. ºª. ①, ſ!",
     ]
     encoder = token_files._Encoder(WORDS)
     for text, ids in zip(texts, encoder.ids(texts)):

@@ -69,22 +69,29 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 class Remembered(dict):
-    """The latest ``limit`` to ``2 * limit`` entries used; ``refresh`` before a look-up."""
+    """The latest ``limit`` to ``2 * limit`` entries used; ``recall`` what a batch needs."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit, self.older = limit, {}
 
-    def refresh(self, keys: set) -> list:
-        """Make known ``keys`` present; returns the unknown ones."""
-        missing = []
+    def make_room(self) -> None:
+        """Set the entries aside if they are many; those asked for again come back."""
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        for key in [k for k in keys if k not in self]:
-            value = self.older.get(key)
+
+    def recall(self, keys: set) -> tuple[dict, list]:
+        """What is known of ``keys``, as a small dictionary, and the unknown ones."""
+        found, unknown = {}, []
+        now, before = self.get, self.older.get
+        for key in keys:
+            value = now(key)
             if value is None:
-                missing.append(key)
-            else:
+                value = before(key)
+                if value is None:
+                    unknown.append(key)
+                    continue
                 self[key] = value
-        return missing
+            found[key] = value
+        return found, unknown

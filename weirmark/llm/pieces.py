@@ -195,26 +195,30 @@ class Encoder:
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
         self.known = Remembered(REMEMBERED)
+        self.now: dict = {}
 
     def learn(self, texts: list[str]) -> None:
-        """Remember the chunks of these texts."""
-        new = self.known.refresh({c for text in texts for c in _CHUNKS.findall(" " + text)})
+        """Have the chunks of these texts at hand."""
+        self.known.make_room()
+        self.now, new = self.known.recall({c for text in texts for c in _CHUNKS.findall(" " + text)})
         new.sort(key=len)
         while new and len(new[-1]) > WIDEST:
             chunk = new.pop()
             paths = self.pieces.best(chunk, 2)
             loss = paths[0].score - paths[1].score if len(paths) > 1 else np.inf
-            self.known[chunk] = paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
+            self.now[chunk] = self.known[chunk] = paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
-            self.known.update(zip(some, self.pieces.forward(some)))
+            found = dict(zip(some, self.pieces.forward(some)))
+            self.known.update(found)
+            self.now.update(found)
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The N best segmentations of a learnt text: score and ids (little-endian, unsigned 32 bits), best first."""
         if not text:
             return [(0.0, b"")]
         chunks = _CHUNKS.findall(" " + text)
-        scores, losses, ids = zip(*map(self.known.__getitem__, chunks))
+        scores, losses, ids = zip(*map(self.now.__getitem__, chunks))
         top, loss = float(sum(scores)), np.array(losses)
         order = np.argsort(loss, kind="stable")[: self.n - 1]
         plans: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]  # loss, changed chunks

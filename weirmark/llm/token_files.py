@@ -17,7 +17,9 @@ only these, and checks them. Any zstandard tool decompresses the whole file.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,15 @@ from weirmark.llm.common import Remembered, fresh_folder, per_worker, stored, wh
 END_ID = 1
 FRAME_IDS = 1 << 16
 #: Different pieces of text whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Documents encoded together.
+TOGETHER = 512
 NO_ID = -(1 << 63)
 
 # Fixed values of the public zstandard formats.
 SEEK_MAGIC, SEEK_END, TABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 SEEK_ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?*%&$#|]+)").fullmatch
 TABLE_ENTRY = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 
 
@@ -139,16 +144,33 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model = whole.encode_batch_fast, whole.model.tokenize
         self.known = Remembered(REMEMBERED)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        new = self.known.refresh(set().union(*pieces))
-        for found, p in zip(self.encode(new, add_special_tokens=False), new):
-            self.known[p] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, some)) for some in pieces]
+        self.known.make_room()
+        found, unknown = self.known.recall(set().union(*pieces))
+        new = [(piece, *self._parts(piece)) for piece in unknown]
+        words, rest = self.known.recall({word for _, *parts in new for word in parts})
+        # nothing is left to normalise or to split in lower-case ASCII letters
+        plain = [word for word in rest if word.isascii() and word.isalpha()]
+        other = [word for word in rest if not (word.isascii() and word.isalpha())]
+        ids = [[token.id for token in self.model(word)] for word in plain]
+        ids += [one.ids for one in self.encode(other, add_special_tokens=False)]
+        for word, some in zip(plain + other, ids):
+            words[word] = self.known[word] = pack(f"<{len(some)}I", *some)
+        for piece, word, marks in new:
+            found[piece] = self.known[piece] = words[word] + words[marks]
+        return [b"".join(map(found.__getitem__, some)) for some in pieces]
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """A word and the marks after it, which the tokenizer always separates; ASCII in lower case."""
+        cut = None if piece.isalpha() else _MARKED(piece)
+        word, marks = cut.groups() if cut else (piece, "")
+        return (word.lower() if word.isascii() and "<|" not in word else word), marks
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -169,8 +191,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                 encoder = per_worker(("tokens", tokenizer), lambda: _Encoder(tokenizer))
                 writer = TokenFileWriter(path)
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
-            for at in range(0, len(texts), 256):
-                for doc_id, found in zip(ids[at : at + 256], encoder.ids(texts[at : at + 256])):
+            for at in range(0, len(texts), TOGETHER):
+                for doc_id, found in zip(ids[at : at + TOGETHER], encoder.ids(texts[at : at + TOGETHER])):
                     writer.add(None if doc_id is None or doc_id != doc_id else int(doc_id), found + end)
         if writer is not None:
             writer.close()
