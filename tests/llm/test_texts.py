@@ -131,8 +131,7 @@ def test_forward_scores(vocabulary, sf_docs):
 @pytest.mark.parametrize("text", ["hello big  world", "a b c", "x", " ", "no no no", "▁ é\n"])
 def test_best_paths_of_texts(vocabulary, text):
     encoder = pieces.Encoder(vocabulary, 5)
-    encoder.learn([text, "other words"])
-    found = encoder.encode(text)
+    found = encoder.encode(encoder.learn([text, "other words"])[0])
     assert [s for s, _ in found] == [s for s, _ in all_paths(vocabulary, " " + text)[:5]]
     assert len({i for _, i in found}) == len(found)
     assert all(vocabulary.decode(np.frombuffer(i, "<u4")) == text for _, i in found)

@@ -197,10 +197,11 @@ class Encoder:
         self.known = Remembered(REMEMBERED)
         self.now: dict = {}
 
-    def learn(self, texts: list[str]) -> None:
-        """Have the chunks of these texts at hand."""
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The chunks of each text; those of all these texts are at hand until the next call."""
+        split = [_CHUNKS.findall(" " + text) if text else [] for text in texts]
         self.known.make_room()
-        self.now, new = self.known.recall({c for text in texts for c in _CHUNKS.findall(" " + text)})
+        self.now, new = self.known.recall(set().union(*split))
         new.sort(key=len)
         while new and len(new[-1]) > WIDEST:
             chunk = new.pop()
@@ -212,12 +213,12 @@ class Encoder:
             found = dict(zip(some, self.pieces.forward(some)))
             self.known.update(found)
             self.now.update(found)
+        return split
 
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """The N best segmentations of a learnt text: score and ids (little-endian, unsigned 32 bits), best first."""
-        if not text:
+    def encode(self, chunks: list[str]) -> list[tuple[float, bytes]]:
+        """The N best segmentations of a text's chunks: score and ids (little-endian, unsigned 32 bits), best first."""
+        if not chunks:
             return [(0.0, b"")]
-        chunks = _CHUNKS.findall(" " + text)
         scores, losses, ids = zip(*map(self.now.__getitem__, chunks))
         top, loss = float(sum(scores)), np.array(losses)
         order = np.argsort(loss, kind="stable")[: self.n - 1]
@@ -260,9 +261,7 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
             cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frame)]
             for a, b in zip(cuts, cuts[1:] if len(frame) else []):
                 part = frame.iloc[a:b]
-                texts = [t or "" for t in part["text"]]
-                encoder.learn([t for t in texts if t])
-                found = [encoder.encode(t) for t in texts]
+                found = [encoder.encode(chunks) for chunks in encoder.learn([t or "" for t in part["text"]])]
                 best = [paths[0][1] for paths in found]
                 yield part.assign(
                     ids=best,
