@@ -316,4 +316,6 @@ def test_stages_match_brute_force(spark, make_docs, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 5]
     cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, kept, "").collect()}
     assert cut[0] == words(1) and cut[5] == words(6)
-    assert passage[5:-5] not in cut[3] and cut[3].startswith(words(2)) and cut[4].endswith(words(5))
+    # the repeat may run on for the few characters that the neighbours happen to share
+    assert passage[5:-5] not in cut[3] and passage[5:-5] not in cut[4]
+    assert cut[3].startswith(words(2)[:-8]) and cut[4].endswith(words(5)[8:])
