@@ -144,7 +144,7 @@ def edited_likeness(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     )
     slim = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
-    dealt = slim.repartitionByRange(order, "text").sortWithinPartitions(order, "text")
+    dealt = slim.repartitionByRange(order).sortWithinPartitions(order, "text")
     done = stored(dealt.mapInPandas(along, f"{shape}, place long, border string, text string"), "phrases")
     heads = done.where("border = 'head'").select("place", F.col("text").alias("next_text"))
     ordered = Window.orderBy("place")  # a row for each range that has documents
