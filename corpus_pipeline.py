@@ -14,8 +14,8 @@ from weirmark.llm.rule_ensemble import accepted
 from weirmark.llm.simhash import deduplicated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: shingles of five words, any of three fingerprints within 7 of 64 bits. Seven bits
-#: are a cosine of 0.94, so a Jaccard similarity of about 0.89.
+#: Near copies: a Jaccard similarity of 0.8 or more of the sets of five words each. Candidates are texts with
+#: any of three fingerprints within 7 of 64 bits, and those that share the key of a MinHash band.
 SHINGLE, MAX_BITS, FINGERPRINTS = 5, 7, 3
 
 

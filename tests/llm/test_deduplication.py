@@ -133,6 +133,18 @@ def test_unlike_texts_stay(make_docs):
     assert simhash.deduplicated(make_docs(*texts), 5, 7, 3).count() == len(texts)
 
 
+def test_pairs_at_the_threshold_are_found(make_docs):
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(400):
+        words = [f"k{k}w{i}" for i in range(300)]
+        copy = with_changes(words, set(rng.choice(300, 6, False).tolist()))
+        if 0.8 <= jaccard(" ".join(words), copy) < 0.85:
+            texts += [" ".join(words), copy]
+    assert len(texts) > 200
+    assert simhash.deduplicated(make_docs(*texts), 5, 7, 3).count() == len(texts) // 2
+
+
 def test_trees_against_all_pairs():
     rng = np.random.default_rng(4)
     texts = []

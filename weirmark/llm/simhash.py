@@ -396,7 +396,8 @@ def deduplicated(docs: DataFrame, shingle: int, max_bits: int, number: int, like
 
     Two texts are near copies if their sets of shingles have a Jaccard similarity of
     ``likeness`` or more; groups are chains of such pairs. Rows of equal sets are one class.
-    Candidates are classes that the tries link. The classes that candidates chain together are
+    Candidates are classes that the tries link or that share the key of a band (MinHash): a budget
+    of ``max_bits`` alone misses many pairs. The classes that candidates chain together are
     compared by their shingles, so none goes for a likeness of fingerprints alone.
 
     Rows of equal or null doc_id are told apart by a number given when the table is
@@ -427,7 +428,9 @@ def deduplicated(docs: DataFrame, shingle: int, max_bits: int, number: int, like
     of = stored(marks.select("_row", "digest").join(classes, "digest").select("_row", "class"), "classes")
     firsts = marks.join(of.where("_row = class").select("_row"), "_row", "left_semi")
     firsts = stored(firsts.withColumnRenamed("_row", "class").drop("digest"), "firsts")
-    members = grouped(firsts.select("class", *names), "class", max_bits, number).select(F.col("component_id").alias("key"), "class")
+    ties = grouped(firsts.select("class", *names), "class", max_bits, number)
+    members = firsts.select(F.explode("bands").alias("key"), "class")
+    members = members.union(ties.select(F.xxhash64(F.lit("tries"), "component_id"), "class"))
     shared = members.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1")
     edges = members.join(shared, "key").where("class > least").select(F.col("class").alias("a"), F.col("least").alias("b"))
     chained = stored(components(edges), "chained")
