@@ -17,6 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: a Jaccard similarity of 0.8 or more of the sets of five words each. Candidates are texts with
 #: any of three fingerprints within 7 of 64 bits, and those that share the key of a MinHash band.
 SHINGLE, MAX_BITS, FINGERPRINTS = 5, 7, 3
+#: Share of the tokens that mixing is to keep.
+BUDGET = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that their tokens have the target marginals."""
-    return mixed(docs.select(*COLUMNS)).where("_kept").select(*COLUMNS)
+    """Samples documents so that ``BUDGET`` of the tokens stay, with the target marginals as far as cells have enough."""
+    return mixed(docs.select(*COLUMNS), budget=BUDGET).where("_kept").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,6 +283,15 @@ def test_mixing_odd(clashing, no_docs):
     assert mixing.mixed(no_docs).count() == 0
 
 
+def test_a_tiny_cell_leaves_the_budget(sf_docs, spark):
+    tiny = spark.createDataFrame([(10**9, "mot " * 50, "xx", "rare", 200)], sf_docs.schema)
+    marked = mixing.with_cells(sf_docs.union(tiny))
+    table = mixing.probabilities(marked, budget=0.5)
+    cells = marked.join(table, ["_source", "_lang", "_topic"]).agg(F.sum(F.expr("_p * _tokens")), F.sum("_tokens"), F.max("_p")).first()
+    assert abs(cells[0] / cells[1] - 0.5) < 1e-6 and cells[2] <= 1
+    assert corpus_pipeline.mixing(spark, sf_docs.union(tiny), "").count() > 0.35 * sf_docs.count()
+
+
 # ------------------------------------------------------------------ pipeline
 
 

@@ -5,11 +5,13 @@ target share of each value of one column after the other, over and over, until a
 marginals hold. A cell's weight over its share of the tokens is the rate at which its
 documents are wanted; divided by the largest rate it is the probability with which each
 is kept, so the expected tokens of the sample have the raked marginals and no document is
-repeated. Built-in functions only.
+repeated. With a token budget (the pipeline) rates are scaled to it instead and cut at 1, so
+that no tiny cell decides how much is kept. Built-in functions only.
 """
 
 from __future__ import annotations
 
+import logging
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +22,10 @@ from weirmark.operators.joins import lookup_join
 
 NONE = "none"
 ROUNDS = 8
+#: Relative error of a raked marginal that is not worth a warning.
+TOLERANCE = 0.001
 SEED = "mix-1"
+LOG = logging.getLogger(__name__)
 ADDED = ("_text", "_source", "_lang", "_topic", "_tokens", "_rate", "_p", "_kept")
 
 
@@ -73,6 +78,22 @@ def shares(cells: DataFrame, target: Target) -> DataFrame:
     return by_value.select(target.column, (F.col("t") / F.lit(whole)).alias("t"))
 
 
+def marginals(cells: DataFrame, weight: str, targets: tuple[Target, ...] = TARGETS) -> DataFrame:
+    """``column, value, target, share``: of each value its target share, and its share of the sum of ``weight``."""
+    parts = None
+    for target in targets:
+        now = cells.groupBy(target.column).agg(F.sum(weight).alias("s")).join(shares(cells, target), target.column)
+        now = now.select(F.lit(target.column).alias("column"), F.col(target.column).alias("value"), F.col("t").alias("target"), "s")
+        parts = now if parts is None else parts.union(now)
+    whole = cells.agg(F.sum(weight)).first()[0]
+    return parts.select("column", "value", "target", (F.col("s") / F.lit(whole)).alias("share"))
+
+
+def largest_error(report: DataFrame) -> float:
+    """The largest relative error of rows of ``marginals``."""
+    return report.agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (one row each, ``tokens`` over zero) with their raked weight ``w``; the weights add up to one."""
     wanted = [stored(shares(cells, target), f"shares-{target.column}") for target in targets]
@@ -86,26 +107,69 @@ def rake(cells: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int =
     return out
 
 
+def scale_to(rates: DataFrame, budget: float) -> float:
+    """The number by which to multiply each ``_rate``, at most 1 each, so that ``budget`` of all tokens are expected.
+
+    What cells at 1 cannot give is taken from the others in proportion to their rates.
+    """
+    whole = rates.agg(F.sum("tokens").cast("double")).first()[0]
+    if not whole:
+        return 1.0
+    scale = 0.0
+    while True:
+        full = F.col("_rate") * F.lit(scale) >= 1
+        sums = F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("_rate") * F.col("tokens")))
+        sure, open_ = rates.agg(*sums).first()
+        if not open_:
+            return scale
+        better = (budget * whole - float(sure)) / open_
+        if better <= scale * (1 + 1e-12):
+            return scale
+        scale = better
+
+
 def _chance(doc_id: Column) -> Column:
     """A number from 0 to 1 that depends on the id alone."""
     digest = F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def probabilities(marked: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """``_source, _lang, _topic, _rate, _p`` of each cell with tokens, from rows of ``with_cells``."""
+def probabilities(
+    marked: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS, budget: float | None = None
+) -> DataFrame:
+    """``_source, _lang, _topic, _rate, _p`` of each cell with tokens, from rows of ``with_cells``.
+
+    Without a ``budget``, ``rounds`` rounds and rates over the largest one, as the SQL of ``op8_mixing``
+    has it. With one, probabilities of at most 1 that
+    are expected to keep this share of the tokens; the marginals that result are logged.
+    """
     names = [t.column for t in targets]
     cells = marked.where("_tokens > 0").groupBy(*(F.col(f"_{c}").alias(c) for c in names))
     cells = stored(cells.agg(F.sum("_tokens").alias("tokens")), "cells")
     raked = rake(cells, targets, rounds)
     whole = cells.agg(F.sum("tokens").cast("double")).first()[0]
     rates = raked.withColumn("_rate", F.col("w") * F.lit(whole) / F.col("tokens"))
+    if budget is not None:
+        rates = stored(rates, "rates")
+        sure = rates.withColumn("_p", F.least(F.lit(1.0), F.col("_rate") * F.lit(scale_to(rates, budget))))
+        report = stored(marginals(sure.withColumn("kept", F.col("_p") * F.col("tokens")), "kept", targets), "marginals")
+        off = report.orderBy(F.desc(F.abs(F.col("share") / F.col("target") - 1))).limit(10).collect()
+        LOG.info("expected marginals furthest from their targets: %s", [tuple(r) for r in off])
+        if off and abs(off[0]["share"] / off[0]["target"] - 1) > 10 * TOLERANCE:
+            LOG.warning("%s %s: target %.6g, expected %.6g of the tokens", *off[0])
+        return sure.select(*(F.col(c).alias(f"_{c}") for c in names), "_rate", "_p")
     rates = stored(rates.select(*(F.col(c).alias(f"_{c}") for c in names), "_rate"), "rates")
     most = rates.agg(F.max("_rate")).first()[0]
     return rates.withColumn("_p", F.col("_rate") / F.lit(most))
 
 
-def mixed(docs: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS, only: list[str] | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    targets: tuple[Target, ...] = TARGETS,
+    rounds: int = ROUNDS,
+    only: list[str] | None = None,
+    budget: float | None = None,
+) -> DataFrame:
     """``docs`` (or the columns ``only``) with ``_source, _lang, _topic, _tokens, _rate, _p`` and ``_kept``.
 
     A null source or language is the value ``none``. A text without a word has no tokens,
@@ -116,7 +180,7 @@ def mixed(docs: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int =
     docs = docs.drop(*ADDED)
     marked = with_cells(docs)
     slim = stored(marked.select("_source", "_lang", "_topic", "_tokens"), "marked")
-    table = probabilities(slim, targets, rounds)
+    table = probabilities(slim, targets, rounds, budget)
     rows = marked.select(*(only or docs.columns), "_source", "_lang", "_topic", "_tokens")
     out = lookup_join(rows, table, ["_source", "_lang", "_topic"], "left")
     sure = F.when(F.col("_tokens") > 0, F.coalesce("_p", F.lit(0.0))).otherwise(F.lit(0.0))
