@@ -21,8 +21,9 @@ from weirmark.llm.common import WORD, stored, whole_text
 from weirmark.operators.joins import lookup_join
 
 NONE = "none"
-ROUNDS = 8
-#: Relative error of a raked marginal that is not worth a warning.
+#: Rounds of ``op8_mixing``; the pipeline tests its marginals after every so many, up to ``MAX_ROUNDS``.
+ROUNDS, MAX_ROUNDS = 8, 96
+#: Relative error of a marginal at which the pipeline's raking ends.
 TOLERANCE = 0.001
 SEED = "mix-1"
 LOG = logging.getLogger(__name__)
@@ -94,16 +95,30 @@ def largest_error(report: DataFrame) -> float:
     return report.agg(F.max(F.abs(F.col("share") / F.col("target") - 1))).first()[0] or 0.0
 
 
-def rake(cells: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (one row each, ``tokens`` over zero) with their raked weight ``w``; the weights add up to one."""
+def rake(
+    cells: DataFrame, targets: tuple[Target, ...] = TARGETS, rounds: int = ROUNDS, tolerance: float | None = None
+) -> DataFrame:
+    """``cells`` (one row each, ``tokens`` over zero) with their raked weight ``w``; the weights add up to one.
+
+    With a ``tolerance`` the rounds go on until no marginal is further off; if it no longer
+    falls or ``MAX_ROUNDS`` do not suffice, the targets can hardly be met together, and the remaining error is logged.
+    """
     wanted = [stored(shares(cells, target), f"shares-{target.column}") for target in targets]
-    out = cells.withColumn("w", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    out, error = cells.withColumn("w", F.col("tokens").cast("double")), None
+    for turn in range(rounds if tolerance is None else max(rounds, MAX_ROUNDS)):
+        if tolerance is not None and turn >= rounds and turn % rounds == 0:
+            before, error = error, largest_error(marginals(out, "w", targets))
+            if error <= tolerance:
+                return out
+            if before and error > 0.999 * before:
+                break
         for target, share in zip(targets, wanted):
             now = out.groupBy(target.column).agg(F.sum("w").alias("s")).join(share, target.column)
             factor = now.select(target.column, (F.col("t") / F.col("s")).alias("factor"))
             out = out.join(factor, target.column).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         out = stored(out, "raked")
+    if tolerance is not None and (error := largest_error(marginals(out, "w", targets))) > tolerance:
+        LOG.warning("raking: a marginal stays off by %.3g of its target", error)
     return out
 
 
@@ -140,13 +155,13 @@ def probabilities(
     """``_source, _lang, _topic, _rate, _p`` of each cell with tokens, from rows of ``with_cells``.
 
     Without a ``budget``, ``rounds`` rounds and rates over the largest one, as the SQL of ``op8_mixing``
-    has it. With one, probabilities of at most 1 that
+    has it. With one, raking to ``TOLERANCE``, and probabilities of at most 1 that
     are expected to keep this share of the tokens; the marginals that result are logged.
     """
     names = [t.column for t in targets]
     cells = marked.where("_tokens > 0").groupBy(*(F.col(f"_{c}").alias(c) for c in names))
     cells = stored(cells.agg(F.sum("_tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets, rounds)
+    raked = rake(cells, targets, rounds, None if budget is None else TOLERANCE)
     whole = cells.agg(F.sum("tokens").cast("double")).first()[0]
     rates = raked.withColumn("_rate", F.col("w") * F.lit(whole) / F.col("tokens"))
     if budget is not None:
