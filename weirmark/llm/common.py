@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,3 +95,69 @@ class Remembered(dict):
                 self[key] = value
             found[key] = value
         return found, unknown
+
+
+class ByteCache:
+    """Entries used lately, of ``limit`` bytes at most; the size of each is told by who adds it.
+
+    Entries live in two halves. When the younger is full it becomes the older one, and what
+    was the older goes; an entry that is asked for moves to the younger half.
+    """
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def add(self, key: Any, value: Any, size: int) -> None:
+        if size > self.half:
+            return
+        if self.size + size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value, size
+        self.size += size
+
+    def find(self, keys: set) -> tuple[dict, list]:
+        """The values of those ``keys`` that are known, and the other keys."""
+        found, unknown = {}, []
+        for key in keys:
+            entry = self.young.get(key)
+            if entry is None:
+                entry = self.old.pop(key, None)
+                if entry is None:
+                    unknown.append(key)
+                    continue
+                self.add(key, *entry)
+            found[key] = entry[0]
+        return found, unknown
+
+
+def heaviest(counts: DataFrame, weight: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the largest ``weight`` (whole, positive), ``limit`` at most, and the other rows (None: there are none).
+
+    The border is a power of two, found from a histogram of 64 rows; no row is sorted or collected.
+    """
+    power = F.floor(F.log2(F.col(weight).cast("double"))).cast("int")
+    bars = counts.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()
+    taken, border = 0, None
+    for row in sorted(bars, key=lambda r: -r["power"]):
+        if taken + row["n"] > limit:
+            break
+        taken, border = taken + row["n"], row["power"]
+    if border is None:
+        return counts.where("false"), counts if bars else None
+    rest = counts.where(power < border) if taken < sum(r["n"] for r in bars) else None
+    return counts.where(power >= border), rest
+
+
+def slices_of(sizes: list[int], part: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``part`` bytes each; a row of more is a range of its own."""
+    begin, held = 0, 0
+    for at, size in enumerate(sizes):
+        if held and held + size > part:
+            yield begin, at
+            begin, held = at, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)

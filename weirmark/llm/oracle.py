@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from weirmark.llm import hard_negatives as hard
 from weirmark.llm import mixing
 from weirmark.llm import quality_rules as quality
 from weirmark.llm import url_rules as urls
@@ -135,8 +136,34 @@ FROM found
 """
 
 
+def op12_hard_negatives() -> str:
+    return f"""
+WITH base AS (
+  SELECT vec_id, CASE WHEN vec_id % {hard.TURNED} = 0 THEN (label + 1) % {hard.CLASSES} ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor({hard.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM base a JOIN base b ON a.vec_id % {hard.ANCHORS} = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {hard.POSITIVES}
+), found AS (
+  SELECT p.*, other_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM positives p JOIN scored USING (anchor_id)
+  WHERE NOT same AND {hard.LEAST} * positive_score <= 100 * score AND 100 * score <= {hard.MOST} * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM found WHERE rank <= {hard.NEGATIVES}
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": op1_quality_rules(),
     "op8_mixing": op8_mixing(),
     "op7_url_rules": op7_url_rules(),
+    "op12_hard_negatives": op12_hard_negatives(),
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirmark.llm.alignment import document_alignment
 from weirmark.llm.common import table
+from weirmark.llm.hard_negatives import hard_negatives
 from weirmark.llm.language_model import language_scores
 from weirmark.llm.lz_prints import edited_likeness
 from weirmark.llm.mixing import mixed
@@ -17,6 +19,7 @@ from weirmark.llm.quality_rules import quality_rules
 from weirmark.llm.repeats import repeated_bytes_removed
 from weirmark.llm.rule_ensemble import quality_scores
 from weirmark.llm.simhash import simhash_groups
+from weirmark.llm.token_counts import document_counts
 from weirmark.llm.token_files import token_digests
 from weirmark.llm.url_rules import url_verdicts
 
@@ -72,6 +75,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return document_alignment(table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_files": op2_token_files,
@@ -83,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_repeats": op9_repeats,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_counts": op13_token_counts,
 }
