@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirmark.llm.common import ByteCache, heaviest, per_worker, slices_of, whole_text
+from weirmark.llm.common import ByteCache, heaviest, per_worker, slices_of, stored, whole_text
 
 LIMIT = 4096
 BLANK = "▁"
@@ -134,7 +134,7 @@ def frequent_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
     slim = docs.select(F.col(text).cast("string").alias("text")).where("text <> ''")
     some = slim.mapInArrow(batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return heaviest(some, "n", FREQUENT)[0]
+    return heaviest(stored(some, "pre-tokens"), "n", FREQUENT)[0]
 
 
 def packed_numbers(words: DataFrame, model_file: str) -> tuple[bytes, np.ndarray, np.ndarray]:
