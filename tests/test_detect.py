@@ -182,3 +182,45 @@ def test_series(spark):
     assert (got["min"], got["max"], got["last"]) == (8.0, 160.0, 8.0)
     wide = report.series_to_columns(series, "prefix", "bps", [P])
     assert wide.columns == ["time", P]
+
+
+@pytest.mark.parametrize("max_duration, chunk", [(60, 1440), (6, 20), (6, 7)])
+def test_streaks_equal_single_evaluations(spark, max_duration, chunk):
+    """Gaps, quiet minutes, both limits, every duration around max_duration, streaks across chunk edges."""
+    draw = random.Random(chunk)
+    values = {m: (draw.choice((600, 600, 600, 599, 1200)), draw.choice((60, 60, 59))) for m in range(60) if draw.random() < 0.85}
+    rules = rule(spark, "threshold", bandwidth_threshold=80, packet_threshold=1, duration=1)
+    for d in range(2, 10):
+        rules = rules.unionByName(rule(spark, "threshold", id=f"r{d}", bandwidth_threshold=80, packet_threshold=1 if d % 2 else None, duration=d))
+    rows = totals(spark, values)
+    found = sorted((int(r[0].timestamp()), *r[1:]) for r in detect.static_threshold_grid(
+        rows, rules, at(0), at(70), max_duration, chunk).collect())
+    want = []
+    for m in range(71):
+        low = {t: v for t, v in values.items() if t <= m}
+        for d in range(1, 10):
+            reach = min(d, max_duration)
+            seen = [low[t] for t in sorted(low) if t >= m - reach]
+            last = seen[-d:]
+            bits = len(seen) >= d and all(b >= 600 for b, _ in last)
+            packets = len(seen) >= d and all(p >= 60 for _, p in last) and (d == 1 or d % 2 == 1)
+            if bits or packets:
+                name = "r" if d == 1 else f"r{d}"
+                want.append((T0 + m * 60, name, P, bits, max(b for b, _ in seen) * 8 / 60, packets, max(p for _, p in seen) / 60))
+    assert found == sorted(want) and len({f[1] for f in found}) > 3
+
+
+def test_zscore_moments_are_exact(spark):
+    """A steady four hours after a burst deviate by nothing at all, and huge values keep their order."""
+    burst = {m: (10**12 + 7919 * m, 1) for m in range(20)}
+    steady = {m: (75_000_001, 1) for m in range(20, 320)}
+    rules = rule(spark, "zscore", zscore_target="bits", zscore_sensitivity="high")
+    values = {**burst, **steady, 320: (75_000_002, 1)}
+    grid = detect.dynamic_threshold_grid(totals(spark, values), rules, at(280), at(321))
+    assert grid.isEmpty()  # with a deviation of rounding errors the last minute would stand out
+    large = {m: (2**62 + (m % 3) * 2**50, 1) for m in range(60)} | {60: (2**63 - 1, 1)}
+    for values in ({**wave(60), 60: (2**40, 1)}, large):
+        rows = totals(spark, values)
+        found = {int(r.eval_time.timestamp()) for r in detect.dynamic_threshold_grid(rows, rules, at(58), at(62)).collect()}
+        single = {T0 + m * 60 for m in range(58, 63) if not detect.dynamic_threshold_alerts(rows, rules, at(m)).isEmpty()}
+        assert found == single and found

@@ -130,13 +130,16 @@ def _own_minutes(df: DataFrame, start: int | None, end: int | None, chunk: int)
 # --- static thresholds ---
 
 
-def never_firing(rules: DataFrame, max_duration: int = MAX_DURATION) -> DataFrame:
-    """Threshold rules that look back further than ``max_duration`` lets them, and so never fire.
+def never_firing(rules: DataFrame, max_duration: int = MAX_DURATION, fires: bool = False) -> DataFrame:
+    """Threshold rules that look back further than ``max_duration`` lets them, and so never fire; or the others.
 
     A window of ``max_duration`` minutes holds that many rows and the running minute.
     """
+    if fires:
+        return rules.filter(f"type = 'threshold' AND duration <= {max_duration + 1}")
     return rules.filter(f"type = 'threshold' AND duration > {max_duration + 1}")
 
+
 _STATIC = ["id", "prefix", "bandwidth_alert", "peak_bps", "packet_alert", "peak_pps"]
 
 
@@ -216,27 +219,106 @@ def static_threshold_grid(
     one minute at most, and an alert can outlive the last row by one minute.
     """
     low, high = _bounds(start, end)
-    ruled, reach = _static_rules(rules, max_duration)
+    ruled, reach = _static_rules(never_firing(rules, max_duration, fires=True), max_duration)
     minutes = _chunked(
         ruled.only_ruled(_read(totals, low, high, reach + 1)), ["prefix"], reach + 1, chunk
     )
-    w = Window.partitionBy("prefix", "_chunk").orderBy("_t").rangeBetween(-reach, 0)
-    seen = F.collect_list(F.expr(f"CASE WHEN bytes IS NOT NULL THEN {_SEEN} END")).over(w)
-    windows = _own_minutes(
-        _with_silent_minutes(minutes, ["prefix"], 1, chunk).withColumn("_seen", seen),
-        low,
-        high,
-        chunk,
-    ).drop(*SUMS)
-    judged = ruled.join(windows).withColumn(
-        "_seen", F.expr("filter(_seen, x -> x._t >= _t - duration)")
+    flagged = ruled.join(minutes).selectExpr(
+        "id", "prefix", "duration", "_chunk", "_m",
+        f"{_BPS} AS bps", f"{_PPS} AS pps",
+        f"coalesce({_BPS} >= bandwidth_threshold, false) AS over_bps",
+        f"coalesce({_PPS} >= packet_threshold, false) AS over_pps",
+    )
+    alerts = _with_streaks(flagged, ["over_bps", "over_pps"]).withColumns(
+        {
+            # the window has a slot more than the rule's rows, unless max_duration cuts it
+            f"{flag}{late}": F.expr(f"{over} AND {test}")
+            for flag, over in (("bandwidth_alert", "over_bps"), ("packet_alert", "over_pps"))
+            for late, test in (
+                ("", f"({over}_run + IF(duration <= {max_duration}, {over}_before, 0) >= duration)"),
+                ("_late", f"{over}_run >= duration AND duration <= {max_duration} AND _quiet"),
+            )
+        }
+    )
+    # the row's own minute and, where the rule still fires then, the quiet one after it
+    moments = alerts.withColumn(
+        "_at",
+        F.explode(
+            F.expr(
+                "filter(array(struct(_m AS t, bandwidth_alert AS b, packet_alert AS p, true AS own),"
+                " struct(_m + 1 AS t, bandwidth_alert_late AS b, packet_alert_late AS p, false AS own)),"
+                " x -> x.own OR x.b OR x.p)"
+            )
+        ),
+    ).selectExpr(
+        "id", "prefix", "duration", "_chunk", "_at.t AS _t", "_at.b AS bandwidth_alert", "_at.p AS packet_alert",
+        "IF(_at.own, bps, NULL) AS bps", "IF(_at.own, pps, NULL) AS pps",
     )
-    return _judge_static(judged).select("eval_time", *_STATIC)
+    found = _with_peaks(moments, max_duration, chunk).filter("bandwidth_alert OR packet_alert")
+    return _own_minutes(found, low, high, chunk).select("eval_time", *_STATIC)
+
+
+_STREAM = ["id", "prefix", "_chunk"]
+
+
+def _with_streaks(flagged: DataFrame, flags: list[str]) -> DataFrame:
+    """Runs of neighbouring minutes over a limit, by gaps and islands.
+
+    For each flag ``<flag>_run`` is the length of the run that the row's minute ends (0 off a run), and
+    ``<flag>_before`` that of the run before it if one missing minute alone parts them, else 0. ``_quiet``:
+    the next minute has no row. All windows share one order and grow by a row at a time.
+    """
+    w = Window.partitionBy(*_STREAM).orderBy("_m")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = flagged.withColumns(
+        {
+            "_gap": F.col("_m") - F.lag("_m").over(w),
+            "_quiet": F.coalesce(F.lead("_m").over(w) > F.col("_m") + 1, F.lit(True)),
+            **{f"_last_{flag}": F.coalesce(F.lag(flag).over(w), F.lit(False)) for flag in flags},
+        }
+    )
+    begins = {flag: f"NOT (coalesce(_gap = 1, false) AND _last_{flag} AND {flag})" for flag in flags}
+    df = df.withColumns(
+        {f"_from_{flag}": F.max(F.expr(f"CASE WHEN {begins[flag]} THEN _m END")).over(so_far) for flag in flags}
+    ).withColumns({f"{flag}_run": F.expr(f"IF({flag}, _m - _from_{flag} + 1, 0)") for flag in flags})
+    df = df.withColumns(
+        {f"_ended_{flag}": F.expr(f"IF({flag} AND coalesce(_gap = 2, false), 1, 0)") * F.coalesce(F.lag(f"{flag}_run").over(w), F.lit(0)) for flag in flags}
+    )
+    return df.withColumns(
+        {
+            # carried from the row that began the run
+            f"{flag}_before": F.last(F.expr(f"CASE WHEN {begins[flag]} THEN _ended_{flag} END"), ignorenulls=True).over(so_far)
+            for flag in flags
+        }
+    )
+
+
+#: Span of a window in scaled minutes; far above the square of the longest look-back in minutes.
+_SCALE = 1 << 40
+
+
+def _with_peaks(moments: DataFrame, max_duration: int, chunk: int) -> DataFrame:
+    """``peak_bps`` and ``peak_pps`` of each alert's own window; rows that lie in no such window go.
+
+    Windows differ by rule in length, so minutes are stretched by rule until all windows span ``_SCALE``.
+    """
+    reach = f"least(duration, {max_duration})"
+    ahead = Window.partitionBy(*_STREAM).orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    near = moments.withColumn(
+        "_next", F.min(F.expr("CASE WHEN bandwidth_alert OR packet_alert THEN _t END")).over(ahead)
+    ).filter(f"_t >= _next - {reach}")
+    window = (
+        Window.partitionBy(*_STREAM)
+        .orderBy(F.expr(f"(_t - _chunk * {chunk}) * ({_SCALE} div {reach})"))
+        .rangeBetween(-_SCALE, 0)
+    )
+    return near.withColumns({f"peak_{u}": F.max(u).over(window) for u in ("bps", "pps")})
 
 
 # --- z-score of five minutes against four hours ---
 
 _ZSCORE = _STATIC
+_MOMENTS = {"bps": "bytes", "pps": "packets"}
 
 
 def _judge_zscore(stats: DataFrame, ruled: _Rules) -> DataFrame:
@@ -308,17 +390,45 @@ def dynamic_threshold_grid(
     )
     line = Window.partitionBy("prefix", "_chunk").orderBy("_t")
     short = line.rangeBetween(-SHORT_MINUTES, 0)
-    long = line.rangeBetween(-LONG_MINUTES, -SHORT_MINUTES - 1)
-    timed = _with_silent_minutes(minutes, ["prefix"], SHORT_MINUTES, chunk).withColumns(
-        {"_bps": F.expr(_BPS), "_pps": F.expr(_PPS)}
+    # sums from the chunk's begin; a window's own are the difference of those at its two ends
+    upto = {
+        "_now": line.rangeBetween(Window.unboundedPreceding, 0),
+        "_short": line.rangeBetween(Window.unboundedPreceding, -SHORT_MINUTES - 1),
+        "_long": line.rangeBetween(Window.unboundedPreceding, -LONG_MINUTES - 1),
+    }
+    timed = _with_silent_minutes(minutes, ["prefix"], SHORT_MINUTES, chunk)
+    largest = Window.partitionBy("prefix", "_chunk")
+    timed = timed.withColumns({f"_scale_{c}": F.max(c).over(largest) for c in _MOMENTS.values()}).withColumns(
+        {
+            "_bps": F.expr(_BPS),
+            "_pps": F.expr(_PPS),
+            # squares of 49 bits and their sums fit a decimal; a stream of larger values gives up 14 bits
+            **{
+                f"_x_{u}": F.expr(f"CAST({c} div IF(_scale_{c} < {1 << 49}, 1, {1 << 14}) AS DECIMAL(19, 0))")
+                for u, c in _MOMENTS.items()
+            },
+        }
     )
-    windowed = {"samples": F.count("_bps").over(long)}
-    for unit in ("bps", "pps"):
-        windowed[f"short_avg_{unit}"] = F.avg(f"_{unit}").over(short)
-        windowed[f"peak_{unit}"] = F.max(f"_{unit}").over(short)
-        windowed[f"long_avg_{unit}"] = F.avg(f"_{unit}").over(long)
-        windowed[f"long_stddev_{unit}"] = F.stddev_pop(f"_{unit}").over(long)
-    stats = _own_minutes(timed.withColumns(windowed), low, high, chunk)
+    sums = {}
+    for end, frame in upto.items():
+        for u in _MOMENTS:
+            sums[f"n{end}_{u}"] = F.count(f"_x_{u}").over(frame)
+            sums[f"x{end}_{u}"] = F.coalesce(F.sum(f"_x_{u}").over(frame), F.lit(0))
+            if end != "_now":
+                square = F.expr(f"CAST(_x_{u} * _x_{u} AS DECIMAL(30, 0))")
+                sums[f"xx{end}_{u}"] = F.coalesce(F.sum(square).over(frame), F.lit(0))
+    sums |= {f"peak_{u}": F.max(f"_{u}").over(short) for u in _MOMENTS}
+    windowed = {"samples": F.expr("n_short_bps - n_long_bps")}
+    for u, c in _MOMENTS.items():
+        unit = f"{'8 / 60' if u == 'bps' else '1 / 60'} * IF(_scale_{c} < {1 << 49}, 1, {1 << 14})"
+        n, x = f"(n_short_{u} - n_long_{u})", f"(x_short_{u} - x_long_{u})"
+        spread = f"({n} * (xx_short_{u} - xx_long_{u}) - CAST({x} AS DECIMAL(19, 0)) * CAST({x} AS DECIMAL(19, 0)))"
+        windowed[f"short_avg_{u}"] = F.expr(
+            f"try_divide(CAST(x_now_{u} - x_short_{u} AS DOUBLE), n_now_{u} - n_short_{u}) * {unit}"
+        )
+        windowed[f"long_avg_{u}"] = F.expr(f"try_divide(CAST({x} AS DOUBLE), {n}) * {unit}")
+        windowed[f"long_stddev_{u}"] = F.expr(f"try_divide(sqrt(CAST({spread} AS DOUBLE)), {n}) * {unit}")
+    stats = _own_minutes(timed.withColumns(sums).withColumns(windowed), low, high, chunk)
     return _judge_zscore(stats, ruled).select("eval_time", *_ZSCORE)
 
 
