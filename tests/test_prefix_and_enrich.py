@@ -163,3 +163,26 @@ def test_discard_fix_and_quarantine(spark):
     assert raw.schema.names == schema.RAW.names
     assert [r.forwarding_status_str for r in raw.collect()] == ["UNKNOWN"] * 2
     assert [r.sequence_num for r in enrich.out_of_range(raw).collect()] == [2]
+
+
+def test_elementary_intervals(spark, monkeypatch):
+    """Neighbouring and nested blocks over several splits; an address is one row of the search."""
+    monkeypatch.setattr(prefix, "BUCKETS", 5)
+    nets = [f"10.0.{i}.0/24" for i in range(40)] + [f"10.0.{i}.{j}/{n}" for i in range(0, 40, 3) for j, n in ((0, 25), (128, 26), (255, 32))]
+    nets += [f"2001:db8:{i:x}::/48" for i in range(20)] + ["10.0.0.0/19", "2001:db8::/44"]
+    index = index_of(spark, nets)
+    table, splits = index.intervals
+    assert 1 < len(splits) <= 5 and table.count() < 2 * len(nets)  # blocks share bounds
+    parsed = [ipaddress.ip_network(n) for n in nets]
+    rnd = random.Random(5)
+    points = {a + s for n in parsed for a in (n.network_address, n.broadcast_address) for s in (-1, 0, 1)}
+    points |= {ipaddress.ip_address((10 << 24) + rnd.randrange(1 << 14)) for _ in range(500)}
+    rows = [(a.packed.rjust(16, b"\0"), a.version, str(a)) for a in points] * 2
+    df = spark.createDataFrame(rows, "key binary, family int, text string")
+    found = prefix.match_prefixes(df, index, "key", "family", max_rows=0)
+    got = found.collect()
+    assert len(got) == len(rows)
+    for row in got:
+        a = ipaddress.ip_address(row.text)
+        want = sorted((n for n in parsed if n.version == a.version and a in n), key=lambda n: n.prefixlen)
+        assert row.prefixes == [str(n) for n in want]

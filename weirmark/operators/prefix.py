@@ -5,13 +5,19 @@ nested loop over every prefix. CIDR blocks allow an equi-join instead. For each
 prefix length in use, the address shifted to that length is looked up in a hash
 table, so a flow costs as many lookups as there are distinct lengths (161 at
 most, a handful in practice), however many prefixes exist.
+
+With many lengths, or more prefixes than can be broadcast, the bounds of all blocks
+cut the number line into elementary intervals, each with its list of
+covering prefixes. An address then takes the list of the last bound before it, found by one
+sorted pass over bounds and distinct addresses.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirmark.functions import ip
@@ -46,10 +52,15 @@ def prefix_ranges(rules: DataFrame) -> DataFrame:
 class PrefixIndex:
     """Stored lookup table with its checked size and the lengths in use."""
 
-    table: DataFrame  # _tag, _upper, _lower → names of the prefixes with that block
+    table: DataFrame  # _tag, _upper, _lower → names of the prefixes with that block, and its bounds
     rows: int
     lengths: tuple[tuple[int, int], ...]  # (family, length), shortest first
 
+    @cached_property
+    def intervals(self) -> tuple[DataFrame, list[bytes]]:
+        """Elementary intervals, built where they are needed first; see :func:`elementary_intervals`."""
+        return elementary_intervals(self)
+
 
 def index_prefixes(ranges: DataFrame) -> PrefixIndex:
     """Build the lookup table once and learn its size and lengths.
@@ -110,10 +121,15 @@ def _lookup_table(ranges: DataFrame) -> DataFrame:
     return (
         _split_address(ranges, "start", "family")
         .selectExpr(
-            "family * 1000 + length AS _tag", f"{upper} AS _upper", f"{lower} AS _lower", "prefix"
+            "family * 1000 + length AS _tag", f"{upper} AS _upper", f"{lower} AS _lower", "prefix",
+            f"{_line('start', 'family')} AS _first", f"{_line('end', 'family')} AS _last",
         )
         .groupBy(*_KEYS)
-        .agg(F.array_sort(F.collect_set("prefix")).alias("_names"))
+        .agg(
+            F.array_sort(F.collect_set("prefix")).alias("_names"),
+            F.min("_first").alias("_first"),  # one block, so one value
+            F.max("_last").alias("_last"),
+        )
     )
 
 
@@ -127,7 +143,7 @@ def _match_by_lookups(df: DataFrame, index: PrefixIndex, output: str) -> DataFra
     v4 = index.table.filter("_tag < 6000").selectExpr(
         f"{_one_long('_tag', '_upper')} AS _key", "_names"
     )
-    v6 = index.table.filter("_tag >= 6000")
+    v6 = index.table.filter("_tag >= 6000").select(*_KEYS, "_names")
     names = []
     for i, (family, length) in enumerate(index.lengths):
         side = v4 if family == 4 else v6
@@ -146,42 +162,93 @@ def _one_long(tag: str | int, upper: str) -> str:
     return f"{tag} * 4294967296L + {upper}"
 
 
-def _match_by_address(
-    df: DataFrame, index: PrefixIndex, small: bool, output: str
-) -> DataFrame:
-    """For prefix tables too large to broadcast (or too many lengths).
+def _line(key: str, family: str) -> str:
+    """Place of an address on one line of both families, as binary that sorts like the number."""
+    return f"concat(CASE WHEN {family} = 4 THEN X'04' ELSE X'06' END, {key})"
+
 
-    Works on distinct addresses, whose partial aggregation absorbs a flood of
-    flows to one destination, and joins the result back by address; a destination
-    with much of the traffic is split by the adaptive skew join.
+#: Parts of the line that are searched apart, and order of what stands at one place: blocks that
+#: begin there, the address itself, blocks that end there.
+BUCKETS = 64
+BEGINS, ADDRESS, ENDED = 0, 1, 2
+
+
+def elementary_intervals(index: PrefixIndex) -> tuple[DataFrame, list[bytes]]:
+    """``_place, _kind, _list``: the prefixes that cover what follows each bound, up to the next; and splits of the line.
+
+    A bound is the first address of a block (``BEGINS``) or its last (``ENDED``: the list holds after it).
+    The splits are bounds that begin blocks, at most ``BUCKETS``, so each part of the line knows its list from its first row.
     """
+    bounds = (
+        index.table.select(F.col("_first").alias("_place"), F.lit(BEGINS).alias("_kind"))
+        .unionByName(index.table.select(F.col("_last").alias("_place"), F.lit(ENDED).alias("_kind")))
+        .distinct()
+    )
+    points = bounds.select("_place").distinct().selectExpr(
+        "_place", "substring(_place, 2, 16) AS _key", "CASE WHEN substring(_place, 1, 1) = X'04' THEN 4 ELSE 6 END AS _family"
+    )
     keys = ", ".join(
         f"struct({tag} AS _tag, {upper} AS _upper, {lower} AS _lower)"
         for tag, upper, lower in (_lookup_key(*pair) for pair in index.lengths)
     )
-    candidates = (
-        df.select(*_PARTS)
-        .distinct()
-        .select(*_PARTS, F.inline(F.expr(f"array({keys})")))
+    blocks = (
+        _split_address(points, "_key", "_family")
+        .select("_place", F.inline(F.expr(f"array({keys})")))
         .filter("_tag IS NOT NULL")
     )
-    pairs = joins.lookup_join(candidates, index.table, _KEYS, small=small)
-    # the parts of the other family are NULL, which no equi-join would match
-    filled = {
-        "_j4": F.expr("coalesce(_v4, CASE WHEN _high IS NOT NULL THEN -1L ELSE -2L END)"),
-        "_jh": F.expr("coalesce(_high, 0L)"),
-        "_jl": F.expr("coalesce(_low, 0L)"),
-    }
-    # at most one entry per prefix length and address
+    # one block of each length at most covers a bound
+    covering = (
+        joins.lookup_join(blocks, index.table, _KEYS, small=index.rows <= joins.BROADCAST_ROWS)
+        .groupBy("_place")
+        .agg(F.array_sort(F.collect_list(F.struct("_tag", "_names", "_last"))).alias("_cover"))
+    )
+    lists = bounds.join(covering, "_place").select(
+        "_place",
+        "_kind",
+        F.expr(f"flatten(transform(filter(_cover, b -> _kind = {BEGINS} OR b._last > _place), b -> b._names))").alias("_list"),
+    )
+    table = lists.checkpoint()
+    begins = table.filter(F.col("_kind") == BEGINS).select("_place")
+    split = begins.repartitionByRange(BUCKETS, "_place").groupBy(F.spark_partition_id().alias("part")).agg(F.min("_place").alias("at"))
+    return table, sorted(bytes(r["at"]) for r in split.collect())
+
+
+def _bucket(place: str, splits: list[bytes], below: int = 0) -> str:
+    """Number of splits up to a place, by halving; 0 before the first, where no block is."""
+    if not splits:
+        return str(below)
+    half = len(splits) // 2
+    left, right = _bucket(place, splits[:half], below), _bucket(place, splits[half + 1 :], below + half + 1)
+    return f"CASE WHEN {place} < X'{splits[half].hex()}' THEN {left} ELSE {right} END"
+
+
+def _match_by_intervals(df: DataFrame, index: PrefixIndex, key: str, family: str, output: str) -> DataFrame:
+    """For prefix tables too large to broadcast (or too many lengths).
+
+    Works on distinct addresses, whose partial aggregation absorbs a flood of flows to one
+    destination: one row per address meets the bounds of its part of the line in order and takes the list
+    of the last one. A part is dealt over salts, with its bounds in each. The result is joined back by
+    address; a destination with much of the traffic is split by the adaptive skew join.
+    """
+    intervals, splits = index.intervals
+    df = df.withColumn("_place", F.expr(_line(key, family)))
+    part = F.expr(_bucket("_place", splits)).alias("_part")
+    addresses = df.select("_place").filter("_place IS NOT NULL").distinct().select(
+        part,
+        F.pmod(F.xxhash64("_place"), F.lit(joins.SALTS)).cast("int").alias("_salt"),
+        "_place",
+        F.lit(ADDRESS).alias("_kind"),
+        F.expr("CAST(NULL AS ARRAY<STRING>)").alias("_list"),
+    )
+    bounds = intervals.select(part, F.explode(F.sequence(F.lit(0), F.lit(joins.SALTS - 1))).alias("_salt"), "_place", "_kind", "_list")
+    line = Window.partitionBy("_part", "_salt").orderBy("_place", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        pairs.groupBy(*_PARTS)
-        .agg(F.array_sort(F.collect_list(F.struct("_tag", "_names"))).alias("_found"))
-        .select(
-            *[part.alias(name) for name, part in filled.items()],
-            F.flatten("_found._names").alias("_matched"),
-        )
+        addresses.unionByName(bounds)
+        .withColumn("_matched", F.last("_list", ignorenulls=True).over(line))
+        .filter(F.col("_kind") == ADDRESS)
+        .select("_place", "_matched")
     )
-    joined = df.withColumns(filled).join(found, list(filled), "left")
+    joined = df.join(found, "_place", "left")
     return joined.withColumn(output, F.expr("coalesce(_matched, CAST(array() AS ARRAY<STRING>))"))
 
 
@@ -202,12 +269,10 @@ def match_prefixes(
     columns = df.columns
     if not index.lengths:
         return df.withColumn(output, F.expr("CAST(array() AS ARRAY<STRING>)"))
-    parts = _split_address(df, key, family)
-    small = index.rows <= max_rows
-    if small and len(index.lengths) <= max_lookups:
-        matched = _match_by_lookups(parts, index, output)
+    if index.rows <= max_rows and len(index.lengths) <= max_lookups:
+        matched = _match_by_lookups(_split_address(df, key, family), index, output)
     else:
-        matched = _match_by_address(parts, index, small, output)
+        matched = _match_by_intervals(df, index, key, family, output)
     return matched.select(*columns, output)
 
 

@@ -382,11 +382,21 @@ FROM flows LEFT JOIN (SELECT n, {_PREFIXES} AS p FROM matched GROUP BY n) USING
         + f""", many AS (
   SELECT DISTINCT len, (167772160 + s_suppkey % 4 * 65536 + s_suppkey % 256 * 256 + s_suppkey % 7) // (1 << (32 - len))
     * (1 << (32 - len)) AS net FROM supplier, (SELECT unnest(range(3, 33)) AS len)),
+six AS (
+  SELECT DISTINCT len, h, l FROM (
+    SELECT len, CAST({0x20010DB8 << 32} + (s_suppkey % 150 + 1) * 65536 AS UHUGEINT) * {_S64} + CAST(s_suppkey % 7 + 1 AS UHUGEINT) AS a,
+      CAST(pow(2::DOUBLE, 128 - len) AS UHUGEINT) AS size, CAST(a // size * size // {_S64} AS UBIGINT) AS h,
+      CAST(a // size * size % {_S64} AS UBIGINT) AS l
+    FROM supplier, (SELECT unnest(range(29, 129)) AS len))),
+names AS (
+  SELECT *, lpad(lower(hex(h)), 16, '0') || lpad(lower(hex(l)), 16, '0') AS t, CAST(h AS UHUGEINT) * {_S64} + l AS lo,
+    lo + CAST(pow(2::DOUBLE, 128 - len) AS UHUGEINT) - 1 AS hi FROM six),
 hit AS (
-  SELECT n, len, net FROM flows JOIN many
-    ON NOT v6 AND CAST(dst_num AS BIGINT) // (1 << (32 - len)) * (1 << (32 - len)) = net)
-SELECT n AS sequence_num, count(len) AS n_prefixes,
-  coalesce(string_agg({_dotted('net')} || '/' || len, ' ' ORDER BY len), '') AS prefixes
+  SELECT n, len, {_dotted('net')} || '/' || len AS p FROM flows JOIN many
+    ON NOT v6 AND CAST(dst_num AS BIGINT) // (1 << (32 - len)) * (1 << (32 - len)) = net
+  UNION ALL SELECT n, len, array_to_string([t[1 + 4 * i : 4 + 4 * i] for i in range(8)], ':') || '/' || len
+  FROM flows JOIN names ON v6 AND dst_num BETWEEN lo AND hi)
+SELECT n AS sequence_num, count(len) AS n_prefixes, coalesce(string_agg(p, ' ' ORDER BY len), '') AS prefixes
 FROM flows LEFT JOIN hit USING (n) GROUP BY n""",
         "prefix_longest_match": _with(*matched)
         + """ SELECT n AS sequence_num, p AS prefix FROM flows

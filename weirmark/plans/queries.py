@@ -383,12 +383,23 @@ def retention_30d(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _many_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of every length from 3 to 32 in one column of prefixes."""
+    """Blocks of every length from 3 to 32, and of IPv6 from 29 to 128, in one column of prefixes."""
     number = "(167772160 + k % 4 * 65536 + k % 256 * 256 + k % 7)"
     lengths = fx.table(spark, d, "supplier").selectExpr("s_suppkey AS k", "explode(sequence(3, 32)) AS length")
     net = lengths.selectExpr("length", f"shiftleft(shiftright({number}, 32 - length), 32 - length) AS net")
     parts = ", '.', ".join(f"shiftright(net, {s}) % 256" for s in (24, 16, 8, 0))
-    return net.selectExpr(f"array(concat({parts}, '/', length)) AS prefixes")
+    v6 = fx.table(spark, d, "supplier").selectExpr(
+        f"{0x20010DB8 << 32} + (s_suppkey % 150 + 1) * 65536 AS high", "s_suppkey % 7 + 1 AS low", "explode(sequence(29, 128)) AS length"
+    )
+    cut = v6.selectExpr(
+        "length",
+        "lpad(hex(IF(length < 64, shiftleft(shiftright(high, 64 - length), 64 - length), high)), 16, '0') AS h",
+        "lpad(hex(IF(length <= 64, 0L, shiftleft(shiftright(low, 128 - length), 128 - length))), 16, '0') AS l",
+    )
+    groups = ", ".join(f"substring({half}, {at}, 4)" for half in "hl" for at in (1, 5, 9, 13))
+    return net.selectExpr(f"array(concat({parts}, '/', length)) AS prefixes").unionByName(
+        cut.selectExpr(f"array(concat(lower(concat_ws(':', {groups})), '/', length)) AS prefixes")
+    )
 
 
 def prefix_match_many_lengths(spark: SparkSession, d: str) -> DataFrame:
