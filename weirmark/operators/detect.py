@@ -143,16 +143,17 @@ def never_firing(rules: DataFrame, max_duration: int = MAX_DURATION, fires: bool
 _STATIC = ["id", "prefix", "bandwidth_alert", "peak_bps", "packet_alert", "peak_pps"]
 
 
-def _judge_static(df: DataFrame) -> DataFrame:
-    """Flags from ``_seen``: the minutes of the window, oldest first."""
+def all_over(value: str, limit: str) -> str:
+    """Whether the last ``duration`` entries of ``_seen``, the minutes of a window, all reach a limit."""
+    return (
+        f"({limit} IS NOT NULL AND size(_seen) >= duration AND "
+        f"forall(slice(_seen, -CAST(duration AS INT), CAST(duration AS INT)),"
+        f" x -> x.{value} >= {limit}))"
+    )
 
-    def all_over(value: str, limit: str) -> str:
-        return (
-            f"({limit} IS NOT NULL AND size(_seen) >= duration AND "
-            f"forall(slice(_seen, -CAST(duration AS INT), CAST(duration AS INT)),"
-            f" x -> x.{value} >= {limit}))"
-        )
 
+def _judge_static(df: DataFrame) -> DataFrame:
+    """Flags from ``_seen``: the minutes of the window, oldest first."""
     # slice() wants a window at least as long as the rule's duration
     enough = df.filter("size(_seen) >= duration")
     return enough.withColumns(

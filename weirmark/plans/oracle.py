@@ -346,7 +346,7 @@ LEFT JOIN (SELECT n, {_PREFIXES} AS p FROM matched GROUP BY n) USING (n)"""
     series = lambda unit, step: f"{_slot(step).replace('tus', 'epoch_us(time_received)')} AS time"
     at_natural = f"c.m = {_MINUTE_NATURAL}"
 
-    return {
+    found = {
         "enrich_flows": _with(*matched)
         + f""" SELECT n AS sequence_num, {_TYPE_NAME} AS type_str, sampler AS sampler_address_str,
   received AS time_received, received - INTERVAL 2 SECOND AS time_flow_start,
@@ -531,3 +531,6 @@ SELECT prefix, {_slot(60)} AS time_received, TRY_CAST(sum(b) AS BIGINT) AS bytes
         + f""" SELECT {own} FROM totals
 WHERE date_trunc('day', time_received) + INTERVAL 30 DAY > make_timestamp({RETENTION_NOW}000000)""",
     }
+    for name in ("static_alerts", "zscore_alerts", "ddos_alerts", "burst_alerts"):
+        found[f"sql_{name}"] = found[name]
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmark.functions import codes, ip, timeslot
-from weirmark.operators import alerts, detect, dimension, enrich, prefix, report, retention, rollup
+from weirmark.operators import alerts, detect, dimension, enrich, prefix, report, retention, rollup, table_functions
 from weirmark.plans import fixture as fx
 from weirmark.plans.fixture import BASE_US, DENSE, NATURAL
 from weirmark.session import checkpoint_folder
@@ -227,6 +227,37 @@ def burst_alerts_grid(spark: SparkSession, d: str) -> DataFrame:
     return detect.burst_grid(_classes(spark, d), fx.rules(spark, d), sensitivity="medium")
 
 
+def _called(spark: SparkSession, d: str, call: str, timing: str = DENSE) -> DataFrame:
+    """A detector called from SQL, over views of the derived tables."""
+    profile = _classes(spark, d, timing)
+    views = {
+        "view_totals": _totals(spark, d),
+        "view_profile": profile,
+        "view_baseline": rollup.daily_baseline(profile),
+        "view_rules": fx.rules(spark, d),
+    }
+    for name, rows in views.items():
+        rows.createOrReplaceTempView(name)
+    table_functions.register_detectors(spark, *views)
+    return spark.sql(f"SELECT * FROM {call}")
+
+
+def sql_static_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return _called(spark, d, f"static_threshold_alerts_at(timestamp_seconds({AS_OF_DENSE}L))")
+
+
+def sql_zscore_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return _called(spark, d, f"dynamic_threshold_alerts_at(timestamp_seconds({AS_OF_DENSE}L))")
+
+
+def sql_ddos_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return _called(spark, d, f"ddos_alerts_at(timestamp_seconds({AS_OF_NATURAL}L))", NATURAL)
+
+
+def sql_burst_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return _called(spark, d, f"burst_alerts_at(timestamp_seconds({AS_OF_DENSE}L), sensitivity => 'medium')")
+
+
 def threshold_alert_log(spark: SparkSession, d: str) -> DataFrame:
     return alerts.threshold_alert_log(_totals(spark, d), fx.rules(spark, d), AS_OF_DENSE)
 
@@ -502,6 +533,10 @@ QUERIES = {
         ddos_alerts_grid,
         burst_alerts,
         burst_alerts_grid,
+        sql_static_alerts,
+        sql_zscore_alerts,
+        sql_ddos_alerts,
+        sql_burst_alerts,
         threshold_alert_log,
         threshold_alert_log_grid,
         threshold_alert_screen,
