@@ -57,6 +57,11 @@ def _threshold_log(found: DataFrame, rules: DataFrame, time) -> DataFrame:
     )
 
 
+def log_of(found: tuple[DataFrame, DataFrame], rules: DataFrame) -> DataFrame:
+    """Rows of the alert log from static and dynamic alerts with their ``eval_time``."""
+    return _threshold_log(_both(*found), rules, F.col("eval_time"))
+
+
 def threshold_alert_log(
     totals: DataFrame,
     rules: DataFrame,
@@ -80,11 +85,11 @@ def threshold_alert_log_grid(
     max_duration: int = detect.MAX_DURATION,
 ) -> DataFrame:
     """The log of one evaluation per minute over a span."""
-    found = _both(
+    found = (
         detect.static_threshold_grid(totals, rules, start, end, max_duration),
         detect.dynamic_threshold_grid(totals, rules, start, end),
     )
-    return _threshold_log(found, rules, F.col("eval_time"))
+    return log_of(found, rules)
 
 
 def ddos_screen(

@@ -433,6 +433,20 @@ def dynamic_threshold_grid(
     return _judge_zscore(stats, ruled).select("eval_time", *_ZSCORE)
 
 
+def judge_windows(windows: DataFrame, rules: DataFrame, max_duration: int = MAX_DURATION) -> tuple[DataFrame, DataFrame]:
+    """Static and z-score alerts from what each minute ``_t`` of a prefix sees.
+
+    ``_seen``: minutes of the static window, oldest first, empty where no static rule can fire; ``samples`` and the
+    averages, peaks and deviations of :func:`dynamic_threshold_grid`.
+    """
+    ruled, _ = _static_rules(never_firing(rules, max_duration, fires=True), max_duration)
+    timed = windows.withColumn("eval_time", F.expr(f"timestamp_seconds(_t * {MINUTE})"))
+    seen = timed.filter("size(_seen) > 0").select("eval_time", "prefix", "_t", "_seen")
+    static = _judge_static(ruled.join(seen).withColumn("_seen", F.expr("filter(_seen, x -> x._t >= _t - duration)")))
+    stats = timed.drop("_seen")
+    return static.select("eval_time", *_STATIC), _judge_zscore(stats, _zscore_rules(rules)).select("eval_time", *_ZSCORE)
+
+
 # --- traffic classes against a baseline ---
 
 _RATES = {"bps": ("bytes", _BPS), "pps": ("packets", _PPS), "fps": ("flows", _FPS)}

@@ -533,4 +533,5 @@ WHERE date_trunc('day', time_received) + INTERVAL 30 DAY > make_timestamp({RETEN
     }
     for name in ("static_alerts", "zscore_alerts", "ddos_alerts", "burst_alerts"):
         found[f"sql_{name}"] = found[name]
+    found["stateful_evaluation"] = found["threshold_alert_log_grid"]
     return found

@@ -14,7 +14,7 @@ from weirmark.plans.fixture import BASE_US, DENSE, NATURAL
 from weirmark.session import checkpoint_folder
 from weirmark.sources import flows as sources
 from weirmark.sources.tables import Store
-from weirmark.streaming import pipeline
+from weirmark.streaming import pipeline, stateful
 
 BASE = BASE_US // 1_000_000
 AS_OF_DENSE = BASE + 603 * 60 + 17  # inside the dense spike
@@ -497,6 +497,34 @@ def evaluation_log(spark: SparkSession, d: str) -> DataFrame:
     return store.read("threshold_alerts").drop("date")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The alert log of a stream of rollup partials, judged from the minutes that each prefix keeps in state.
+
+    The partials come in four files of three hours; a seventh of the last eight minutes of each arrives
+    with the next file. A last row, a day later, closes all minutes.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    store, folder = _store(spark), f"{checkpoint_folder(spark)}/stateful-{uuid.uuid4().hex}"
+    minute = f"(unix_seconds(time_received) - {BASE}) div 60"
+    slow = "CASE WHEN sequence_num % 7 = 3 THEN 8 ELSE 0 END"
+    tagged = fx.tagged(spark, d).withColumn("_file", F.expr(f"least(3, ({minute} + {slow}) div 180)"))
+    exploded = tagged.selectExpr(
+        "_file", "explode(prefixes) AS prefix", f"{timeslot.slot_start('time_received', 60)} AS time_received", "total_bytes", "total_packets"
+    )
+    sums = [F.sum("total_bytes").alias("bytes"), F.sum("total_packets").alias("packets"), F.count("*").alias("flows")]
+    parts = exploded.groupBy("_file", "prefix", "time_received").agg(*sums).checkpoint()
+    for part in range(4):
+        parts.filter(f"_file = {part}").drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last = f"SELECT '' AS prefix, timestamp_seconds({BASE + 3 * 86400}L) AS time_received, 0L AS bytes, 0L AS packets, 0L AS flows"
+    spark.sql(last).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(parts.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stateful.start_stateful_evaluation(stream, store, _dimensions(spark, d), f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return store.read("threshold_alerts").drop("date")
+
+
 def rollup_with_out_of_range(spark: SparkSession, d: str) -> DataFrame:
     """Totals where some flows' bytes, and some minutes' sums, do not fit 64 bits."""
     large = "CASE WHEN sequence_num % 50 = 7 THEN NULL WHEN sequence_num % 10 = 3 THEN 5000000000000000000L ELSE total_bytes END"
@@ -561,6 +589,7 @@ QUERIES = {
         stream_equals_batch,
         baseline_job,
         evaluation_log,
+        stateful_evaluation,
         rollup_with_out_of_range,
     )
 }
