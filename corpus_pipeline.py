@@ -14,9 +14,8 @@ from weirmark.llm.rule_ensemble import accepted
 from weirmark.llm.simhash import deduplicated
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: a Jaccard similarity of 0.8 or more of the sets of five words each. Candidates are texts with
-#: any of three fingerprints within 7 of 64 bits, and those that share the key of a MinHash band.
-SHINGLE, MAX_BITS, FINGERPRINTS = 5, 7, 3
+#: Near copies: fingerprints of three-word shingles that differ in three bits at most.
+SHINGLE, MAX_BITS = 3, 3
 #: Share of the tokens that mixing is to keep.
 BUDGET = 0.5
 
@@ -28,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies."""
-    return deduplicated(docs.select(*COLUMNS), SHINGLE, MAX_BITS, FINGERPRINTS)
+    return deduplicated(docs.select(*COLUMNS), SHINGLE, MAX_BITS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,66 +101,28 @@ def test_simhash_odd(clashing, no_docs):
 
 
 def test_deduplicated_keeps_one_of_each(clashing, no_docs, make_docs):
-    kept = simhash.deduplicated(clashing, 5, 7, 3)
+    kept = simhash.deduplicated(clashing)
     assert kept.columns == [c for c in clashing.columns if c != "_row"]
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([1, 4, 5, None, 8, 9], key=str)
-    assert simhash.deduplicated(no_docs, 5, 7, 3).count() == 0
-    text = " ".join(f"w{i}" for i in range(400))
-    near = make_docs((7, text.replace("w77 ", "other "), "en", "a"), (3, text, "en", "a"), (9, text.upper() + "!", "en", "a"))
-    assert [r["doc_id"] for r in simhash.deduplicated(near, 5, 7, 3).collect()] == [3]
-
-
-def jaccard(a, b, shingle=5):
-    grams = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in (a.split(), b.split())]
-    return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
-
-
-def with_changes(words, places):
-    return " ".join("new" + w if i in places else w for i, w in enumerate(words))
-
-
-def test_unlike_texts_stay(make_docs):
-    """Fingerprints of a long and often repeated part agree, the sets of shingles do not."""
-    rng = np.random.default_rng(8)
-    texts = []
-    for k in range(4):
-        refrain = " ".join(f"r{k}w{i}" for i in range(12))
-        texts += [" ".join([refrain] * 40 + [f"t{k}x{j}y{i}" for i in rng.integers(0, 10**6, 30)]) for j in range(2)]
-    for a, b in zip(texts[::2], texts[1::2]):
-        prints = [simhash.text_prints([t.encode()], 5, 3) for t in (a, b)]
-        assert min((int(x[0]) ^ int(y[0])).bit_count() for x, y in zip(*prints)) <= 7 and jaccard(a, b) < 0.5
-    assert simhash.deduplicated(make_docs(*texts), 5, 7, 3).count() == len(texts)
-
-
-def test_pairs_at_the_threshold_are_found(make_docs):
-    rng = np.random.default_rng(9)
-    texts = []
-    for k in range(400):
-        words = [f"k{k}w{i}" for i in range(300)]
-        copy = with_changes(words, set(rng.choice(300, 6, False).tolist()))
-        if 0.8 <= jaccard(" ".join(words), copy) < 0.85:
-            texts += [" ".join(words), copy]
-    assert len(texts) > 200
-    assert simhash.deduplicated(make_docs(*texts), 5, 7, 3).count() == len(texts) // 2
-
-
-def test_trees_against_all_pairs():
-    rng = np.random.default_rng(4)
-    texts = []
-    for k in range(6):
-        words = [f"k{k}w{i}" for i in range(300)]
-        texts += [with_changes(words, set(rng.choice(300, rng.integers(2, 6), False).tolist())) for _ in range(12)]
-    sets = [np.unique(simhash.shingle_hashes([t.encode()], 5)[0]) for t in texts]
-    sketches = np.array([np.frombuffer(x, np.uint8) for x in simhash.text_sketches([t.encode() for t in texts], 5, 1)["sketch"]])
-    wanted = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if jaccard(texts[i], texts[j]) >= 0.8:
-                x, y = wanted[i], wanted[j]
-                wanted = [min(x, y) if z in (x, y) else z for z in wanted]
-    assert simhash.similar_trees(sets, sketches, 0.8).tolist() == wanted
-    assert 6 < len(set(wanted)) < len(texts)
+    assert simhash.deduplicated(no_docs).count() == 0
+    text = " ".join(f"w{i}" for i in range(4000))
+    near = make_docs((7, text.replace("w77 ", "other "), "en", "a"), (3, text, "en", "a"), (9, text.upper() + " ", "en", "a"))
+    assert [r["doc_id"] for r in simhash.deduplicated(near).collect()] == [3]
+
+
+def test_deduplicated_equals_groups(sf_docs):
+    """Of each component of the query the document that names it stays."""
+    wanted = {r["component_id"] for r in simhash.simhash_groups(sf_docs).collect()}
+    kept = [r["doc_id"] for r in simhash.deduplicated(sf_docs).collect()]
+    assert set(kept) == wanted and len(kept) == len(wanted) < sf_docs.count()
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big + 1, "a b c d"), (None, "a b c d"), (big, "a b c d"), (-(2**63) + 1, "x y z")], "doc_id long, text string").coalesce(1)
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()}
+    assert found == {(big + 1, big), (None, big), (big, big), (-(2**63) + 1, -(2**63) + 1)}
 
 
 def test_repeats_query(sf_docs):

@@ -243,7 +243,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
                         "key": range(key, key + n),
                         "word": None,
                         "n": lengths,
-                        "doc_id": ids[at : at + n],
+                        "doc_id": pd.Series(ids[at : at + n], dtype=object),
                         "held_out": held[at : at + n],
                         "base": sums[0],
                         "model": sums[1],
@@ -257,14 +257,14 @@ def language_scores(docs: DataFrame) -> DataFrame:
                     ).reindex(columns=["key", "word", "n", "doc_id", "held_out", "base", "model", "known"])
                 key += n
 
-    shape = f"key long, word string, n long, doc_id {kind}, held_out boolean, base double, model double, known long"
-    scored = stored(slim.mapInPandas(score, shape), "token-scores")
+    shape = f"key long, word string, n long, doc_id string, held_out boolean, base double, model double, known long"
+    scored = stored(slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, shape), "token-scores")
     # Rare words only, so no key is hot; unseen ones weigh log10(0 + 1) = 0.
     found = scored.where("word IS NOT NULL").select("key", "word", "n").join(counts, "word")
     tail = found.groupBy("key").agg(F.sum(F.expr("n * log10(c + 1)")).alias("tail"), F.sum("n").alias("more"))
     whole = scored.where("word IS NULL").join(tail, "key", "left").na.fill(0, ["tail", "more"])
     return whole.select(
-        "doc_id",
+        F.col("doc_id").cast(kind),
         "held_out",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.col("more")).alias("n_known"),

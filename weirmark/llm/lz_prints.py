@@ -139,12 +139,13 @@ def edited_likeness(docs: DataFrame, kept: int = KEPT) -> DataFrame:
                 yield result(rows)
 
     shape = (
-        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
+        "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double"
     )
     slim = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
     dealt = slim.repartitionByRange(order).sortWithinPartitions(order, "text")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, which pandas leaves as it is
     done = stored(dealt.mapInPandas(along, f"{shape}, place long, border string, text string"), "phrases")
     heads = done.where("border = 'head'").select("place", F.col("text").alias("next_text"))
     ordered = Window.orderBy("place")  # a row for each range that has documents
@@ -153,4 +154,5 @@ def edited_likeness(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     )
     tails = done.where("border = 'tail'").select("doc_id", "text", "place").join(ring, "place")
     last = tails.join(heads.withColumnRenamed("place", "next_place"), "next_place").select("doc_id", "text", "next_text")
-    return done.where("border IS NULL").select(*_COLUMNS).union(last.mapInPandas(across, shape))
+    found = done.where("border IS NULL").select(*_COLUMNS).union(last.mapInPandas(across, shape))
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

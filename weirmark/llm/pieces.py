@@ -22,11 +22,12 @@ from itertools import count
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weirmark.llm.common import Remembered, per_worker, whole_text
+from weirmark.llm.common import Remembered, per_worker, slices_of, whole_text
 
 N_BEST = 3
 BLANK = "▁"
@@ -250,41 +251,50 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
     names are replaced; an empty table gives no rows.
     """
     docs = docs.drop("ids", "scores", "others", "decoded")
-    added = "ids binary, scores array<double>, others array<binary>, decoded string"
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [added])
+    doubles, parts = pa.list_(pa.float64()), pa.list_(pa.binary())
+    shape = T.StructType(
+        [
+            *docs.schema.fields,
+            T.StructField("ids", T.BinaryType()),
+            T.StructField("scores", T.ArrayType(T.DoubleType())),
+            T.StructField("others", T.ArrayType(T.BinaryType())),
+            T.StructField("decoded", T.StringType()),
+        ]
+    )
+    place = docs.columns.index("text")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("pieces", model_file, n), lambda: Encoder(Pieces(model_file), n))
         pieces = encoder.pieces
-        for frame in frames:
-            sizes = np.cumsum([len(t) if t else 0 for t in frame["text"]]) // PART
-            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(frame)]
-            for a, b in zip(cuts, cuts[1:] if len(frame) else []):
-                part = frame.iloc[a:b]
-                found = [encoder.encode(chunks) for chunks in encoder.learn([t or "" for t in part["text"]])]
+        for batch in tables:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            for a, b in slices_of([len(t) for t in texts], PART):
+                found = [encoder.encode(chunks) for chunks in encoder.learn(texts[a:b])]
                 best = [paths[0][1] for paths in found]
-                yield part.assign(
-                    ids=best,
-                    scores=[[s for s, _ in paths] for paths in found],
-                    others=[[i for _, i in paths[1:]] for paths in found],
-                    decoded=[pieces.decode(np.frombuffer(i, "<u4")) for i in best],
-                )
+                added = [
+                    pa.array(best, pa.binary()),
+                    pa.array([[s for s, _ in paths] for paths in found], doubles),
+                    pa.array([[i for _, i in paths[1:]] for paths in found], parts),
+                    pa.array([pieces.decode(np.frombuffer(i, "<u4")) for i in best], pa.string()),
+                ]
+                yield pa.record_batch([*batch.slice(a, b - a).columns, *added], shape.names)
 
-    return docs.mapInPandas(encode, shape)
+    return docs.mapInArrow(encode, shape)
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
     """``rows`` with ``decoded``: the text of ``ids`` (null: null)."""
     rows = rows.drop("decoded")
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["decoded string"])
+    shape = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+    place = rows.columns.index("ids")
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
-        for frame in frames:
-            texts = [None if i is None else pieces.decode(np.frombuffer(i, "<u4")) for i in frame["ids"]]
-            yield frame.assign(decoded=texts)
+        for batch in tables:
+            texts = [None if i is None else pieces.decode(np.frombuffer(i, "<u4")) for i in batch.column(place).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], shape.names)
 
-    return rows.mapInPandas(decode, shape)
+    return rows.mapInArrow(decode, shape)
 
 
 def segmentation_digests(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:

@@ -42,6 +42,8 @@ CHUNK = 1 << 17
 #: Input bytes for each bucket of names.
 BUCKET = 1 << 24
 UNIQUE, SETTLED, STANDS, OPEN = range(4)
+#: Other columns travel as JSON; by default that cuts times to milliseconds.
+MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -211,7 +213,7 @@ class _Block:
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents packed into blocks: ``block, ends, rest`` (the other columns as JSON) and ``data``."""
-    rest = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c != "text")), MICROSECONDS)
     slim = docs.select(rest.alias("rest"), whole_text(F.col("text")).cast("binary").alias("text"))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,6 +361,6 @@ def repeated_bytes_removed(docs: DataFrame, length: int = LENGTH, as_text: bool
         .cogroup(both.groupBy("block"))
         .applyInPandas(cut_out, f"rest string, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     )
-    return out.select(F.from_json("rest", rest).alias("rest"), "kept", "n_bytes", "n_removed", "n_spans").select(
+    return out.select(F.from_json("rest", rest, MICROSECONDS).alias("rest"), "kept", "n_bytes", "n_removed", "n_spans").select(
         "rest.*", "kept", "n_bytes", "n_removed", "n_spans"
     )

@@ -19,14 +19,15 @@ forest of its links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import combinations
-from math import ceil, log2, sqrt
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirmark.llm.common import stored, whole_text
 from weirmark.llm.hashing import xxh64_slices
@@ -41,13 +42,6 @@ PART = 1 << 19
 #: Node pairs that the traversal expands at once.
 CHUNK = 1 << 18
 MAX_ROUNDS = 60
-#: Jaccard similarity of near copies.
-LIKENESS = 0.8
-#: Smallest values of ``BANDS * BAND`` hashes of a text's shingles; the sketch has a byte of each. A band's
-#: key is equal with probability ``j ** BAND``, so some key of two texts is in 99.9 % of cases at j = 0.8.
-BANDS, BAND = 32, 7
-#: Standard deviations below its mean that the agreement of two sketches may be.
-SLACK = 6
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -82,46 +76,26 @@ def fold(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Another hash of each hash; turn 0 leaves them."""
-    if not turn:
-        return hashes
-    with np.errstate(over="ignore"):
-        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(2 * turn + 1) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def text_prints(texts: list[bytes], shingle: int, number: int = 1) -> list[np.ndarray]:
-    """``number`` fingerprints of each text, as signed longs; about ``PART`` bytes are hashed at once.
-
-    The first is that of the hashes themselves, the others of the hashes mixed anew.
-    """
+def text_prints(texts: list[bytes], shingle: int) -> np.ndarray:
+    """The fingerprint of each text, as a signed long; about ``PART`` bytes are hashed at once."""
     sizes = np.cumsum([len(t) for t in texts]) // PART
-    out: list[list[int]] = [[] for _ in range(number)]
+    out: list[int] = []
     for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
         hashes, counts = shingle_hashes([texts[i] for i in part], shingle)
-        for k in range(number if len(part) else 0):
-            out[k] += [fold(x) for x in np.split(remixed(hashes, k), np.cumsum(counts)[:-1])]
-    return [np.array(x, "<u8").view("<i8") for x in out]
-
+        out += [fold(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(part) else []
+    return np.array(out, "<u8").view("<i8")
 
-def _names(number: int) -> list[str]:
-    return ["fingerprint"] + [f"fingerprint{k}" for k in range(1, number)]
 
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``fingerprint`` (a signed long) of every row; null text is empty. The key stays in Arrow."""
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", number: int = 1) -> DataFrame:
-    """``key`` and ``fingerprint`` (a signed long; further ones ``fingerprint1`` ...) of every row; null text is empty."""
-    names = ["fingerprint"] + [f"fingerprint{k}" for k in range(1, number)]
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            prints = text_prints([bytes(t) for t in frame["text"]], shingle, number)
-            yield pd.DataFrame({key: frame[key], **dict(zip(names, prints))})
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables:
+            prints = text_prints([t or b"" for t in batch.column(1).to_pylist()], shingle)
+            yield pa.record_batch([batch.column(0), pa.array(prints)], [key, "fingerprint"])
 
     slim = docs.select(key, whole_text(F.col("text")).cast("binary").alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return slim.mapInPandas(batches, ", ".join([f"{key} {kind}"] + [f"{name} long" for name in names]))
+    return slim.mapInArrow(batches, T.StructType([docs.schema[key], T.StructField("fingerprint", T.LongType())]))
 
 
 # ---------------------------------------------------------------- trie join
@@ -286,30 +260,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def grouped(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS, number: int = 1) -> DataFrame:
-    """``key, fingerprint, component_id`` for rows ``key, fingerprint`` (and ``fingerprint1`` ...).
+def grouped(prints: DataFrame, key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
+    """``key, fingerprint, component_id`` for rows ``key, fingerprint``.
 
-    Rows are linked if any of their ``number`` fingerprints are near. Equal rows are one
-    trie leaf, so a large group of copies costs one row. ``component_id`` is
+    Equal rows are one trie leaf, so a large group of copies costs one row. ``component_id`` is
     the smallest key of the component (null only if all its keys are null).
     """
-    names = ["fingerprint"] + [f"fingerprint{k}" for k in range(1, number)]
-    distinct = stored(prints.groupBy(*names).agg(F.min(key).alias("least")), "fingerprints")
-    edges = None
-    for name in names:
-        if name == "fingerprint":
-            found = links(distinct.select("fingerprint").distinct() if number > 1 else distinct, max_bits)
-        else:  # from the values of this fingerprint to those of the first
-            to = stored(distinct.groupBy(name).agg(F.min("fingerprint").alias("node")), "nodes")
-            near = links(to.select(F.col(name).alias("fingerprint")), max_bits)
-            near = near.join(to.select(F.col(name).alias("a"), F.col("node").alias("x")), "a")
-            near = near.join(to.select(F.col(name).alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-            same = distinct.select(name, "fingerprint").join(to, name).where("fingerprint <> node")
-            found = near.union(same.select("fingerprint", "node")).toDF("a", "b")
-        edges = found if edges is None else edges.union(found)
-    tied = components(edges)
-    firsts = distinct.groupBy("fingerprint").agg(F.min("least").alias("least")) if number > 1 else distinct
-    named = firsts.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "fingerprints")
+    tied = components(links(distinct, max_bits))
+    named = distinct.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint")
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -332,112 +291,15 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     )
 
 
-def text_sketches(texts: list[bytes], shingle: int, number: int) -> pd.DataFrame:
-    """Of each text: ``number`` fingerprints, digest of its shingle set, band keys and sketch (see ``BANDS``)."""
-    rng = np.random.default_rng(SEED)
-    times = rng.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, BANDS * BAND, np.uint64)
-    sizes = np.cumsum([len(t) for t in texts]) // PART
-    out: dict[str, list] = {name: [] for name in [*_names(number), "digest", "bands", "sketch"]}
-    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1) if texts else []:
-        hashes, counts = shingle_hashes([texts[i] for i in part], shingle)
-        for k, name in enumerate(_names(number)):
-            out[name] += [fold(x) for x in np.split(remixed(hashes, k), np.cumsum(counts)[:-1])]
-        sets = np.split(hashes, np.cumsum(counts)[:-1])
-        out["digest"] += [blake2b(np.unique(x).tobytes(), digest_size=16).digest() for x in sets]
-        least = np.zeros((len(part), BANDS * BAND), np.uint64)
-        some = np.flatnonzero(counts)
-        begins = (np.cumsum(counts) - counts)[some]
-        for k in range(BANDS * BAND if len(some) else 0):
-            least[some, k] = np.minimum.reduceat(hashes * times[k] + plus[k], begins)
-        keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(part), axis=0)
-        for k in range(BAND):
-            keys = remixed(keys ^ least[:, k::BAND], 1)
-        out["bands"] += [x.tolist() if n else [] for x, n in zip(keys.view("<i8"), counts)]
-        out["sketch"] += [x.tobytes() for x in least.astype(np.uint8)]
-    for name in _names(number):
-        out[name] = np.array(out[name], "<u8").view("<i8")
-    return pd.DataFrame(out)
-
-
-def similar_trees(sets: list[np.ndarray], sketches: np.ndarray, likeness: float) -> np.ndarray:
-    """For each sorted set, the first one of its tree; trees are joined by a Jaccard similarity of ``likeness``.
-
-    Grows one tree after the other: a set just added is compared with those in no tree yet, so
-    pairs within a tree are skipped. Sketches only spare the comparison of clearly different sets.
-    """
-    root = np.arange(len(sets))
-    size = np.array([len(x) for x in sets])
-    apart = np.arange(len(sets))
-    enough = likeness * sketches.shape[1] - SLACK * sqrt(likeness * (1 - likeness) * sketches.shape[1])
-    while len(apart):
-        seed, apart, grown = apart[0], apart[1:], [apart[0]]
-        while grown and len(apart):
-            x = grown.pop()
-            bounds = np.minimum(size[apart], size[x]) >= likeness * np.maximum(size[apart], size[x]) - 1e-9
-            maybe = np.flatnonzero(bounds)
-            maybe = maybe[np.count_nonzero(sketches[apart[maybe]] == sketches[x], axis=1) >= enough]
-            if not len(maybe):
-                continue
-            other = apart[maybe]
-            flat = np.concatenate([sets[y] for y in other])
-            at = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
-            hit = (sets[x][at] == flat) if size[x] else np.zeros(len(flat), bool)
-            shared = np.bincount(np.repeat(np.arange(len(other)), size[other]), hit, len(other))
-            near = shared >= likeness * (size[x] + size[other] - shared) - 1e-9
-            root[other[near]] = seed
-            grown += other[near].tolist()
-            apart = np.delete(apart, maybe[near])
-    return root
-
-
-def deduplicated(docs: DataFrame, shingle: int, max_bits: int, number: int, likeness: float = LIKENESS) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` of each group of near copies: that of the smallest doc_id (null last).
 
-    Two texts are near copies if their sets of shingles have a Jaccard similarity of
-    ``likeness`` or more; groups are chains of such pairs. Rows of equal sets are one class.
-    Candidates are classes that the tries link or that share the key of a band (MinHash): a budget
-    of ``max_bits`` alone misses many pairs. The classes that candidates chain together are
-    compared by their shingles, so none goes for a likeness of fingerprints alone.
-
-    Rows of equal or null doc_id are told apart by a number given when the table is
-    stored; texts without a word are copies of each other.
+    Groups are those of :func:`simhash_groups`. Rows of equal or null doc_id are told apart by a number given when the
+    table is stored; texts without a word have fingerprint zero and are linked like any other.
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    names = _names(number)
-
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = text_sketches([bytes(t) for t in frame["text"]], shingle, number)
-            found.insert(0, "_row", frame["_row"].to_numpy())
-            yield found
-
-    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("class", ignore_index=True)
-        sets = []
-        for text in frame["text"]:
-            sets.append(np.unique(shingle_hashes([bytes(text)], shingle)[0]))
-        sketches = np.frombuffer(b"".join(map(bytes, frame["sketch"])), np.uint8).reshape(len(frame), -1)
-        number_of = frame["class"].to_numpy()
-        return pd.DataFrame({"class": number_of, "tree": number_of[similar_trees(sets, sketches, likeness)]})
-
-    slim = rows.select("_row", whole_text(F.col("text")).cast("binary").alias("text"))
-    shape = ", ".join(["_row long", *(f"{n} long" for n in names), "digest binary, bands array<long>, sketch binary"])
-    marks = stored(slim.mapInPandas(sketch, shape), "sketches")
-    classes = marks.groupBy("digest").agg(F.min("_row").alias("class"))
-    of = stored(marks.select("_row", "digest").join(classes, "digest").select("_row", "class"), "classes")
-    firsts = marks.join(of.where("_row = class").select("_row"), "_row", "left_semi")
-    firsts = stored(firsts.withColumnRenamed("_row", "class").drop("digest"), "firsts")
-    ties = grouped(firsts.select("class", *names), "class", max_bits, number)
-    members = firsts.select(F.explode("bands").alias("key"), "class")
-    members = members.union(ties.select(F.xxhash64(F.lit("tries"), "component_id"), "class"))
-    shared = members.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1")
-    edges = members.join(shared, "key").where("class > least").select(F.col("class").alias("a"), F.col("least").alias("b"))
-    chained = stored(components(edges), "chained")
-    held = chained.withColumnRenamed("node", "class").join(firsts.select("class", "sketch"), "class")
-    held = held.join(slim.withColumnRenamed("_row", "class"), "class")
-    trees = held.groupBy("root").applyInPandas(confirm, "class long, tree long")
-    ranked = rows.select("doc_id", "_row").join(of, "_row").join(trees, "class", "left")
+    found = grouped(stored(fingerprints(rows, shingle, "_row"), "prints"), "_row", max_bits)
+    ranked = rows.select("doc_id", "_row").join(found.select("_row", "component_id"), "_row")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    first = ranked.groupBy(F.coalesce("tree", "class").alias("tree")).agg(F.min(order).alias("first")).select("first._row")
+    first = ranked.groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
     return rows.join(first, "_row", "left_semi").drop("_row")

@@ -193,7 +193,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             texts, ids = frame["text"].tolist(), frame["doc_id"].tolist()
             for at in range(0, len(texts), TOGETHER):
                 for doc_id, found in zip(ids[at : at + TOGETHER], encoder.ids(texts[at : at + TOGETHER])):
-                    writer.add(None if doc_id is None or doc_id != doc_id else int(doc_id), found + end)
+                    writer.add(None if doc_id is None else int(doc_id), found + end)
         if writer is not None:
             writer.close()
             row = [task.partitionId(), path, len(writer.table), writer.tokens]
@@ -201,6 +201,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
     slim = docs.select(F.col("doc_id").cast("long"), whole_text(F.col("text")).alias("text"))
     dealt = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # as text, which pandas leaves as it is
     files = stored(dealt.mapInPandas(write, "shard long, path string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -215,7 +216,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 reader, rows, size = TokenFileReader(path), [], 0
                 for place, ids in reader.documents():
                     doc_id, n = int(reader.table["doc_id"][place]), len(ids) // 4
-                    rows.append((None if doc_id == NO_ID else doc_id, start, n, ids, shard))
+                    rows.append((None if doc_id == NO_ID else str(doc_id), start, n, ids, shard))
                     start, size = start + n, size + len(ids)
                     if size > 1 << 24:
                         yield _rows(rows)
@@ -224,12 +225,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 reader.close()
 
     def _rows(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids", "shard"])
-        return out.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids", "shard"])
 
-    shape = "doc_id long, start long, n_tokens long, ids binary, shard long"
+    shape = "doc_id string, start long, n_tokens long, ids binary, shard long"
     places = max(1, files.count())
-    return files.select("shard", "path", "start").repartition(places, "shard").mapInPandas(read, shape)
+    return files.select("shard", "path", "start").repartition(places, "shard").mapInPandas(read, shape).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def read_documents(files: list[str], wanted: set[int]) -> dict[int, np.ndarray]:

@@ -147,7 +147,7 @@ def url_verdicts(
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(
-        "page_id",
+        F.col("page_id").cast("string"),  # as text, which pandas leaves as it is
         F.translate(F.regexp_extract(url, parts, 1), upper, upper.lower()).alias("host"),
         F.regexp_extract(url, parts, 2).alias("path"),
         F.regexp_extract(url, parts, 3).alias("query"),
@@ -177,4 +177,5 @@ def url_verdicts(
             ]
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInPandas(judge, f"page_id {kind}, host string, path string, rule string, verdict string, glob string")
+    judged = rows.mapInPandas(judge, "page_id string, host string, path string, rule string, verdict string, glob string")
+    return judged.withColumn("page_id", F.col("page_id").cast(kind))
