@@ -22,9 +22,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirmark.llm.common import id_remainder, stored, whole_text
 
@@ -204,7 +206,6 @@ def language_scores(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select(
         "doc_id",
         (id_remainder(F.col("doc_id"), FOLDS) == HELD_FOLD).alias("held_out"),
@@ -224,13 +225,14 @@ def language_scores(docs: DataFrame) -> DataFrame:
     head = spark.sparkContext.broadcast((words, known))  # at most HEAD words
     model = tuple(fit(class_counts(train, head)))
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, net, log_room = _Vocabulary(*head.value), Model(*model), np.log10(room)
         key = TaskContext.get().partitionId() << 33
-        for frame in frames:
-            texts, ids, held = [bytes(t) for t in frame["text"]], frame["doc_id"].tolist(), frame["held_out"].tolist()
-            for at in range(0, len(texts), 256):
-                words, lengths, places, classes, near, far = _tokens(vocabulary, texts[at : at + 256])
+        for batch in tables:
+            kind = batch.schema.field("doc_id").type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words, lengths, places, classes, near, far = _tokens(vocabulary, part.column("text").to_pylist())
                 contexts, index = np.unique(far * (CLASSES + 1) + near, return_inverse=True)
                 by_class = net.log10(contexts // (CLASSES + 1), contexts % (CLASSES + 1))[index, classes]
                 weight = np.where(places >= 0, vocabulary.weight[places], 0.0)
@@ -238,33 +240,28 @@ def language_scores(docs: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 sums = [np.bincount(owner, x, len(lengths)) for x in (weight, by_class + inside, places >= 0)]
                 n = len(lengths)
-                yield pd.DataFrame(
-                    {
-                        "key": range(key, key + n),
-                        "word": None,
-                        "n": lengths,
-                        "doc_id": pd.Series(ids[at : at + n], dtype=object),
-                        "held_out": held[at : at + n],
-                        "base": sums[0],
-                        "model": sums[1],
-                        "known": sums[2].astype(np.int64),
-                    }
-                )
-                rare = Counter((int(owner[i]), words[i]) for i in np.flatnonzero(places < 0).tolist())
+                numbers = sums[0], sums[1], sums[2].astype(np.int64)
+                whole = [np.arange(key, key + n), pa.nulls(n, pa.string()), lengths, part.column("doc_id"), part.column("held_out"), *numbers]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in whole], shape.names)
+                rare = Counter((key + int(owner[i]), words[i]) for i in np.flatnonzero(places < 0).tolist())
                 if rare:
-                    yield pd.DataFrame(
-                        {"key": [key + k for k, _ in rare], "word": [w.decode() for _, w in rare], "n": list(rare.values())}
-                    ).reindex(columns=["key", "word", "n", "doc_id", "held_out", "base", "model", "known"])
+                    keys, some = zip(*rare)
+                    known = [pa.array(keys, pa.int64()), pa.array([w.decode() for w in some], pa.string()), pa.array(rare.values(), pa.int64())]
+                    empty = [pa.nulls(len(rare), t) for t in (kind, pa.bool_(), pa.float64(), pa.float64(), pa.int64())]
+                    yield pa.record_batch([*known, *empty], shape.names)
                 key += n
 
-    shape = f"key long, word string, n long, doc_id string, held_out boolean, base double, model double, known long"
-    scored = stored(slim.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, shape), "token-scores")
+    fields = {"key": "long", "word": "string", "n": "long", "doc_id": None, "held_out": "boolean", "base": "double", "model": "double", "known": "long"}
+    shape = T.StructType()
+    for name, kind in fields.items():
+        shape.add(docs.schema[name] if kind is None else T.StructField(name, T.DataType.fromDDL(kind)))
+    scored = stored(slim.mapInArrow(score, shape), "token-scores")
     # Rare words only, so no key is hot; unseen ones weigh log10(0 + 1) = 0.
     found = scored.where("word IS NOT NULL").select("key", "word", "n").join(counts, "word")
     tail = found.groupBy("key").agg(F.sum(F.expr("n * log10(c + 1)")).alias("tail"), F.sum("n").alias("more"))
     whole = scored.where("word IS NULL").join(tail, "key", "left").na.fill(0, ["tail", "more"])
     return whole.select(
-        F.col("doc_id").cast(kind),
+        "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.col("more")).alias("n_known"),
