@@ -206,9 +206,9 @@ class Aligner:
         """The alignment of each text; of an empty one, or one whose bytes a tokenizer changes, nothing."""
         split = [self.chunks(text) if text else [] for text in texts]
         now, unknown = self.cache.find(set().union(*split))
-        for chunk, found in (self.learn(unknown) if unknown else {}).items():
-            now[chunk] = found
-            self.cache.add(chunk, found, ENTRY + 2 * len(chunk) + len(found.pairs) + len(found.groups))
+        new = self.learn(unknown) if unknown else {}
+        now |= new
+        self.cache.add(new, sum(ENTRY + 2 * len(chunk) + len(found.pairs) + len(found.groups) for chunk, found in new.items()))
         for chunks in split:
             n_a, pairs, groups = zip(*map(now.__getitem__, chunks)) if chunks else ((0,), (), ())
             yield NOTHING if 0 in n_a else Aligned(sum(n_a), b"".join(pairs), "".join(groups))

@@ -68,69 +68,40 @@ def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
-class Remembered(dict):
-    """The latest ``limit`` to ``2 * limit`` entries used; ``recall`` what a batch needs."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.older = limit, {}
-
-    def make_room(self) -> None:
-        """Set the entries aside if they are many; those asked for again come back."""
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-
-    def recall(self, keys: set) -> tuple[dict, list]:
-        """What is known of ``keys``, as a small dictionary, and the unknown ones."""
-        found, unknown = {}, []
-        now, before = self.get, self.older.get
-        for key in keys:
-            value = now(key)
-            if value is None:
-                value = before(key)
-                if value is None:
-                    unknown.append(key)
-                    continue
-                self[key] = value
-            found[key] = value
-        return found, unknown
-
-
 class ByteCache:
-    """Entries used lately, of ``limit`` bytes at most; the size of each is told by who adds it.
+    """Entries used lately, of ``limit`` bytes or so; their sizes are told by who adds them.
 
     Entries live in two halves. When the younger is full it becomes the older one, and what
-    was the older goes; an entry that is asked for moves to the younger half.
+    was the older goes; an entry that is asked for is taken along into the younger half, where it
+    counts with the average size of the older one's.
     """
 
     def __init__(self, limit: int):
         self.half = limit // 2
         self.young: dict = {}
         self.old: dict = {}
-        self.size = 0
+        self.size = self.mean = 0.0
 
-    def add(self, key: Any, value: Any, size: int) -> None:
+    def add(self, entries: dict, size: int) -> None:
+        """``entries`` of ``size`` bytes together; more than fit in a half are not kept."""
         if size > self.half:
             return
         if self.size + size > self.half:
-            self.old, self.young, self.size = self.young, {}, 0
-        self.young[key] = value, size
+            self.mean = self.size / max(1, len(self.young))
+            self.old, self.young, self.size = self.young, {}, 0.0
+        self.young.update(entries)
         self.size += size
 
     def find(self, keys: set) -> tuple[dict, list]:
         """The values of those ``keys`` that are known, and the other keys."""
-        found, unknown = {}, []
-        for key in keys:
-            entry = self.young.get(key)
-            if entry is None:
-                entry = self.old.pop(key, None)
-                if entry is None:
-                    unknown.append(key)
-                    continue
-                self.add(key, *entry)
-            found[key] = entry[0]
-        return found, unknown
+        here = keys & self.young.keys()
+        found = dict(zip(here, map(self.young.__getitem__, here)))
+        rest = keys - here
+        back = rest & self.old.keys()
+        again = dict(zip(back, map(self.old.__getitem__, back)))
+        self.young.update(again)
+        self.size += len(again) * self.mean
+        return found | again, list(rest - back)
 
 
 def heaviest(counts: DataFrame, weight: str, limit: int) -> tuple[DataFrame, DataFrame | None]:

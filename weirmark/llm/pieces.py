@@ -23,11 +23,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirmark.llm.common import Remembered, per_worker, slices_of, whole_text
+from weirmark.llm.common import ByteCache, per_worker, slices_of, whole_text
 
 N_BEST = 3
 BLANK = "▁"
@@ -35,8 +36,8 @@ BLANK = "▁"
 FOREIGN = "\0"
 #: Added to the lowest score for a character without a piece, as SentencePiece does.
 UNKNOWN_PENALTY = -10.0
-#: Different chunks that a task remembers.
-REMEMBERED = 400_000
+#: Bytes of chunks that a worker remembers, and what one takes besides its text and ids.
+REMEMBERED, ENTRY = 96 << 20, 400
 #: Bytes of text encoded at once.
 PART = 1 << 19
 #: Chunks: a blank begins one, and so do a line end and what follows it.
@@ -44,6 +45,8 @@ _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 #: Longest chunk that is searched together with others, and how many at once.
 WIDEST, TOGETHER = 48, 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Pieces are looked up by so many leading bits of their hash.
+BITS = 20
 
 
 class Path(NamedTuple):
@@ -82,6 +85,12 @@ class Pieces:
         self.hashes = hashes[order]
         self.ids = np.array([self.piece[names[k]][0] for k in order], np.int64)
         self.scores = np.array([self.piece[names[k]][1] for k in order])
+        # by leading bits: the first hash that has them (-1: none); so many hashes share them at most
+        lead = (self.hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        some, begin, count_ = np.unique(lead, return_index=True, return_counts=True)
+        self.begin = np.full(1 << BITS, -1, np.int32)
+        self.begin[some] = begin
+        self.crowd = int(count_.max(initial=0))
 
     @staticmethod
     def _hash(name: str) -> np.uint64:
@@ -125,43 +134,69 @@ class Pieces:
         rows, width = len(chunks), max(map(len, chunks))
         shown = [c.replace(BLANK, FOREIGN).replace(" ", BLANK) for c in chunks]
         text = np.frombuffer("".join(x.ljust(width, FOREIGN) for x in shown).encode("utf-32-le"), "<u4")
-        text = text.reshape(rows, width).astype(np.uint64) + np.uint64(1)
+        text = np.ascontiguousarray(text.reshape(rows, width).T).astype(np.uint64) + np.uint64(1)  # by place
         sizes = np.array([len(c) for c in chunks])
-        hits = []  # by length: place in the table of the piece that starts at each place, or -1
-        with np.errstate(over="ignore"):
-            value = np.zeros((rows, width), np.uint64)
-            for length in range(1, min(self.longest, width) + 1):
-                value = (value[:, : width - length + 1] + text[:, length - 1 :]) * _FACTOR
-                value ^= value >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
-                hits.append(np.where(self.hashes[at] == value, at, -1))
-        first, second = (np.full((rows, width + 1), -np.inf) for _ in range(2))
-        first[:, 0] = 0
-        step, piece = (np.zeros((rows, width + 1), np.int64) for _ in range(2))
+        hits = []  # by length: where each start's pieces begin in the next two, their rows, their places in the table
+        value = np.zeros((width, rows), np.uint64)
+        for length in range(1, min(self.longest, width) + 1):
+            value = (value[: width - length + 1] + text[length - 1 :]) * _FACTOR
+            value ^= value >> np.uint64(29)
+            cell, at = self._found(value.ravel())
+            start = cell // rows
+            hits.append((np.searchsorted(start, np.arange(width - length + 2)).tolist(), cell - start * rows, at))
+        first, second = (np.full((width + 1, rows), -np.inf) for _ in range(2))
+        first[0] = 0
+        step, piece = np.ones((width + 1, rows), np.int64), np.full((width + 1, rows), -1)
         for end in range(1, width + 1):
-            a, b, by, chosen = first[:, end], second[:, end], step[:, end], piece[:, end]
-            for length in range(min(end, len(hits)), 0, -1):
-                hit = hits[length - 1][:, end - length]
-                score = np.where(hit >= 0, self.scores[hit], self.unknown if length == 1 else -np.inf)
-                x, y = first[:, end - length] + score, second[:, end - length] + score
-                better = x > a
-                b[:] = np.where(better, np.maximum(a, y), np.maximum(b, x))
-                a[better], by[better], chosen[better] = x[better], length, hit[better]
+            a, b, by, chosen = first[end], second[end], step[end], piece[end]
+            for length in range(min(end, len(hits)), 1, -1):
+                cuts, lines, places = hits[length - 1]
+                i, j = cuts[end - length], cuts[end - length + 1]
+                if i == j:
+                    continue
+                line, hit = lines[i:j], places[i:j]
+                score = self.scores[hit]
+                x, y, was = first[end - length, line] + score, second[end - length, line] + score, a[line]
+                better = x > was
+                b[line] = np.where(better, np.maximum(was, y), np.maximum(b[line], x))
+                line = line[better]
+                a[line], by[line], chosen[line] = x[better], length, hit[better]
+            # a single character, which every place has, as a piece or by its bytes
+            cuts, lines, places = hits[0]
+            line, hit = lines[cuts[end - 1] : cuts[end]], places[cuts[end - 1] : cuts[end]]
+            score, single = np.full(rows, self.unknown), np.full(rows, -1)
+            score[line], single[line] = self.scores[hit], hit
+            x, y = first[end - 1] + score, second[end - 1] + score
+            better = x > a
+            b[:] = np.where(better, np.maximum(a, y), np.maximum(b, x))
+            a[better], by[better], chosen[better] = x[better], 1, single[better]
         line = np.arange(rows)
         place, found = sizes.copy(), []
         while place.any():
-            found.append(np.where(place > 0, piece[line, place], -2))
-            place = np.maximum(place - np.where(place > 0, step[line, place], 0), 0)
+            found.append(np.where(place > 0, piece[place, line], -2))
+            place = np.maximum(place - np.where(place > 0, step[place, line], 0), 0)
         table = np.stack(found[::-1], axis=1)
         used = table != -2
         ids = np.where(table >= 0, self.ids[table], 0).astype("<u4")
-        best, loss = first[line, sizes], first[line, sizes] - second[line, sizes]
-        flat, counts = ids[used], used.sum(axis=1)
-        parts = [x.tobytes() for x in np.split(flat, np.cumsum(counts)[:-1])]
+        best, loss = first[sizes, line], first[sizes, line] - second[sizes, line]
+        data, cuts = ids[used].tobytes(), [0, *(4 * np.cumsum(used.sum(axis=1))).tolist()]
+        parts = [data[i:j] for i, j in zip(cuts, cuts[1:])]
         for k in np.flatnonzero((table == -1).any(axis=1)).tolist():  # characters without a piece
             parts[k] = np.array(self.best(chunks[k], 1)[0].ids, "<u4").tobytes()
         return list(zip(best.tolist(), loss.tolist(), parts))
 
+    def _found(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are a piece's, in order, and its place in the table."""
+        begin = self.begin[value >> np.uint64(64 - BITS)]
+        cell = np.flatnonzero(begin >= 0)
+        at, wanted = begin[cell].astype(np.int64), value[cell]
+        place = np.full(len(cell), -1)
+        for _ in range(self.crowd):
+            same = self.hashes[at] == wanted
+            place[same] = at[same]
+            at = np.minimum(at + 1, len(self.hashes) - 1)
+        return cell[place >= 0], place[place >= 0]
+
     def best(self, chunk: str, n: int) -> list[Path]:
         """The n best paths through a chunk's lattice, best first; fewer if there are no more."""
         ranked = self.lattice(chunk)
@@ -195,25 +230,25 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
-        self.known = Remembered(REMEMBERED)
+        self.known = ByteCache(REMEMBERED)
         self.now: dict = {}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The chunks of each text; those of all these texts are at hand until the next call."""
         split = [_CHUNKS.findall(" " + text) if text else [] for text in texts]
-        self.known.make_room()
-        self.now, new = self.known.recall(set().union(*split))
+        self.now, new = self.known.find(set().union(*split))
         new.sort(key=len)
-        while new and len(new[-1]) > WIDEST:
-            chunk = new.pop()
+        wide = next((k for k, chunk in enumerate(new) if len(chunk) > WIDEST), len(new))
+        learnt = {}
+        for chunk in new[wide:]:
             paths = self.pieces.best(chunk, 2)
             loss = paths[0].score - paths[1].score if len(paths) > 1 else np.inf
-            self.now[chunk] = self.known[chunk] = paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            found = dict(zip(some, self.pieces.forward(some)))
-            self.known.update(found)
-            self.now.update(found)
+            learnt[chunk] = paths[0].score, loss, np.array(paths[0].ids, "<u4").tobytes()
+        for at in range(0, wide, TOGETHER):
+            some = new[at : min(at + TOGETHER, wide)]
+            learnt.update(zip(some, self.pieces.forward(some)))
+        self.now |= learnt
+        self.known.add(learnt, sum(ENTRY + len(chunk) + len(found[2]) for chunk, found in learnt.items()))
         return split
 
     def encode(self, chunks: list[str]) -> list[tuple[float, bytes]]:
@@ -232,12 +267,14 @@ class Encoder:
                 for r, path in enumerate(paths)
             ]
             plans = sorted(plans, key=lambda plan: plan[0])[: self.n]
-        out = []
+        best, out = b"".join(ids), []
+        places = {k: sum(map(len, ids[:k])) for _, changed in plans for k, _ in changed}
         for lost, changed in plans:
-            some = list(ids) if changed else ids
-            for k, other in changed:
-                some[k] = np.array(other, "<u4").tobytes()
-            out.append((top - lost, b"".join(some)))
+            parts, done = [], 0
+            for k, other in sorted(changed):
+                parts += best[done : places[k]], np.array(other, "<u4").tobytes()
+                done = places[k] + len(ids[k])
+            out.append((top - lost, b"".join(parts) + best[done:] if parts else best))
         return out
 
 
@@ -267,9 +304,10 @@ def encoded(docs: DataFrame, model_file: str, n: int = N_BEST) -> DataFrame:
         encoder = per_worker(("pieces", model_file, n), lambda: Encoder(Pieces(model_file), n))
         pieces = encoder.pieces
         for batch in tables:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            for a, b in slices_of([len(t) for t in texts], PART):
-                found = [encoder.encode(chunks) for chunks in encoder.learn(texts[a:b])]
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+            for a, b in slices_of(sizes, PART):
+                texts = [t or "" for t in batch.column(place).slice(a, b - a).to_pylist()]
+                found = [encoder.encode(chunks) for chunks in encoder.learn(texts)]
                 best = [paths[0][1] for paths in found]
                 added = [
                     pa.array(best, pa.binary()),

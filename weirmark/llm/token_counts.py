@@ -103,9 +103,9 @@ class TokenCounter:
         seen = set().union(*split)
         held = seen & self.first.keys()
         now, unknown = self.cache.find(seen - held)
-        for word, n in zip(unknown, self.pre_token_numbers(unknown)):
-            now[word] = n
-            self.cache.add(word, n, ENTRY + len(word))
+        new = dict(zip(unknown, self.pre_token_numbers(unknown)))
+        now |= new
+        self.cache.add(new, ENTRY * len(new) + sum(map(len, new)))
         now.update((word, self.first[word]) for word in held)
         return [sum(map(now.__getitem__, words)) for words in split]
 

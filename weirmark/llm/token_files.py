@@ -17,8 +17,8 @@ only these, and checks them. Any zstandard tool decompresses the whole file.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirmark.llm.common import Remembered, fresh_folder, per_worker, stored, whole_text
+from weirmark.llm.common import ByteCache, fresh_folder, per_worker, stored, whole_text
 
 #: Appended to each document.
 END_ID = 1
 FRAME_IDS = 1 << 16
-#: Different pieces of text whose ids a task remembers.
-REMEMBERED = 500_000
+#: Bytes of pieces of text and their ids that a worker remembers, and what one takes besides these.
+REMEMBERED, ENTRY = 160 << 20, 170
 #: Documents encoded together.
 TOGETHER = 512
 NO_ID = -(1 << 63)
@@ -44,7 +44,8 @@ NO_ID = -(1 << 63)
 # Fixed values of the public zstandard formats.
 SEEK_MAGIC, SEEK_END, TABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 SEEK_ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?*%&$#|]+)").fullmatch
+#: Marks after a word, which the tokenizer always separates from letters.
+MARKS = ".,;:!?*%&$#|"
 TABLE_ENTRY = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("frame", "<u4")])
 
 
@@ -146,30 +147,35 @@ class _Encoder:
 
         whole = Tokenizer.from_file(path)
         self.encode, self.model = whole.encode_batch_fast, whole.model.tokenize
-        self.known = Remembered(REMEMBERED)
+        self.known = ByteCache(REMEMBERED)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        self.known.make_room()
-        found, unknown = self.known.recall(set().union(*pieces))
-        new = [(piece, *self._parts(piece)) for piece in unknown]
-        words, rest = self.known.recall({word for _, *parts in new for word in parts})
+        found, unknown = self.known.find(set().union(*pieces))
+        parts = [self._parts(piece) for piece in unknown]
+        words, rest = self.known.find(set(chain.from_iterable(parts)))
         # nothing is left to normalise or to split in lower-case ASCII letters
         plain = [word for word in rest if word.isascii() and word.isalpha()]
         other = [word for word in rest if not (word.isascii() and word.isalpha())]
         ids = [[token.id for token in self.model(word)] for word in plain]
         ids += [one.ids for one in self.encode(other, add_special_tokens=False)]
-        for word, some in zip(plain + other, ids):
-            words[word] = self.known[word] = pack(f"<{len(some)}I", *some)
-        for piece, word, marks in new:
-            found[piece] = self.known[piece] = words[word] + words[marks]
+        new = {word: pack(f"<{len(some)}I", *some) for word, some in zip(chain(plain, other), ids)}
+        words |= new
+        new |= {piece: words[word] + words[marks] for piece, (word, marks) in zip(unknown, parts)}
+        found |= new
+        self.known.add(new, ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values())))
         return [b"".join(map(found.__getitem__, some)) for some in pieces]
 
     @staticmethod
     def _parts(piece: str) -> tuple[str, str]:
-        """A word and the marks after it, which the tokenizer always separates; ASCII in lower case."""
-        cut = None if piece.isalpha() else _MARKED(piece)
-        word, marks = cut.groups() if cut else (piece, "")
+        """A word and the marks after it; ASCII in lower case."""
+        word, marks = piece, ""
+        if not piece.isalpha():
+            word = piece.rstrip(MARKS)
+            if word.isalpha():
+                marks = piece[len(word) :]
+            else:
+                word = piece
         return (word.lower() if word.isascii() and "<|" not in word else word), marks
 
 
