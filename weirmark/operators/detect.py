@@ -213,18 +213,24 @@ def static_threshold_grid(
     end: Moment = None,
     max_duration: int = MAX_DURATION,
     chunk: int = CHUNK_MINUTES,
+    in_force: tuple[str, str] | None = None,
 ) -> DataFrame:
     """:func:`static_threshold_alerts` at every minute of a span.
 
     ``duration`` rows must lie in ``duration + 1`` slots, so a window misses
     one minute at most, and an alert can outlive the last row by one minute.
+    ``in_force`` names a rule's first minute and the first one after it: minutes
+    that no evaluation in between looks at are left out.
     """
     low, high = _bounds(start, end)
     ruled, reach = _static_rules(never_firing(rules, max_duration, fires=True), max_duration)
     minutes = _chunked(
         ruled.only_ruled(_read(totals, low, high, reach + 1)), ["prefix"], reach + 1, chunk
     )
-    flagged = ruled.join(minutes).selectExpr(
+    ruled_minutes = ruled.join(minutes)
+    if in_force:
+        ruled_minutes = ruled_minutes.filter(f"_m >= {in_force[0]} - {reach + 1} AND _m < {in_force[1]}")
+    flagged = ruled_minutes.selectExpr(
         "id", "prefix", "duration", "_chunk", "_m",
         f"{_BPS} AS bps", f"{_PPS} AS pps",
         f"coalesce({_BPS} >= bandwidth_threshold, false) AS over_bps",

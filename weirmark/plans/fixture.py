@@ -153,6 +153,29 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule as it is, and as some are changed or deleted within the dense half day."""
+    k = "CAST(substring(id, 2) AS BIGINT)"
+    now = rules(spark, sf_dir)
+
+    def changed(which: str, seconds: str, version: int, deleted: str = "false", **new: str) -> DataFrame:
+        columns = [f"{new[c]} AS {c}" if c in new else c for c in now.columns]
+        valid = f"timestamp_seconds({BASE_US // 1_000_000}L + {seconds}) AS valid_from"
+        return now.filter(which.format(k=k)).selectExpr(
+            *columns, valid.format(k=k), f"{version} AS version", f"{deleted.format(k=k)} AS deleted"
+        )
+
+    lower = changed("{k} % 2 = 0", "21600 + {k} % 7 * 90", 1, name="concat(name, ' v1')", bandwidth_threshold="bandwidth_threshold div 4")
+    other = changed("{k} % 3 = 0", "36120 + {k} % 5 * 30", 2, "{k} % 6 = 0", name="concat(name, ' v2')", type="'zscore'")
+    twice = [
+        changed("{k} % 4 = 1", "28800", n, duration=f"{n - 2}L", packet_threshold="1000L") for n in (3, 4)
+    ]
+    versions = changed("true", "-86400", 0)
+    for more in (lower, other, *twice):
+        versions = versions.unionByName(more)
+    return versions
+
+
 def protocols(spark: SparkSession) -> DataFrame:
     return read_protocols(spark)
 

@@ -117,6 +117,38 @@ rp AS (
 ranges AS (SELECT DISTINCT prefix, fam, len, lo, lo + span AS hi FROM rp),
 ruled AS (SELECT rule.*, rp.prefix FROM rule JOIN rp USING (k))"""
 
+
+
+def _versioned(shift: int = 0) -> str:
+    """Versions of the rules in place of the rules, with the minutes they hold; ``shift`` in seconds."""
+    columns = "k, {name} AS name, {type} AS type, {bt} AS bt, {pt} AS pt, {d} AS d, zlimit, target"
+
+    def changed(which: str, seconds: str, version: int, deleted: str = "false", **new: str) -> str:
+        values = {c: c for c in ("name", "type", "bt", "pt", "d")} | new
+        return (
+            f"SELECT id, {columns.format(**values)}, {version} AS version, {deleted} AS deleted,"
+            f" {BASE + shift} + {seconds} AS since FROM rule WHERE {which}"
+        )
+
+    parts = [
+        changed("true", "-86400", 0),
+        changed("k % 2 = 0", "21600 + k % 7 * 90", 1, name="name || ' v1'", bt="bt // 4"),
+        changed("k % 3 = 0", "36120 + k % 5 * 30", 2, "k % 6 = 0", name="name || ' v2'", type="'zscore'"),
+        *(changed("k % 4 = 1", "28800", n, d=str(n - 2), pt="1000") for n in (3, 4)),
+    ]
+    plain = "ruled AS (SELECT rule.*, rp.prefix FROM rule JOIN rp USING (k))"
+    assert plain in _RULES
+    return _RULES.replace(
+        plain,
+        f"""ver AS ({" UNION ALL ".join(parts)}),
+span AS (
+  SELECT *, (since + 59) // 60 AS first,
+    COALESCE(lead((since + 59) // 60) OVER (PARTITION BY id ORDER BY since, version), 1099511627776) AS after FROM ver),
+held AS (SELECT * FROM span WHERE first < after AND NOT deleted),
+ruled AS (SELECT held.*, rp.prefix FROM held JOIN rp USING (k))""",
+    )
+
+
 _MATCHED = """
 matched AS (
   SELECT flows.*, prefix, len FROM flows JOIN ranges
@@ -438,6 +470,31 @@ FROM matched WHERE etype IN (2048, 34525) GROUP BY ALL""",
         "threshold_alert_log_grid": _threshold_log(
             _static(), _ZSCORE.format(when="true"), "eval_time"
         ),
+        "threshold_replay_versions": _with(
+            flows,
+            _versioned(),
+            _MATCHED,
+            _TOTALS,
+            _static("c.t >= r.first AND c.t < r.after"),
+            _ZSCORE.format(when="true").replace(
+                "r.type = 'zscore'\n  WHERE samples", "r.type = 'zscore' AND s.t >= r.first AND s.t < r.after\n  WHERE samples"
+            ),
+        )
+        + """ SELECT a.id AS rule_id, h.name AS rule_name, alert_type, prefix, eval_time AS alert_time,
+  peak_bps, peak_pps, bandwidth_alert AS is_bandwidth_alert, packet_alert AS is_packet_alert
+FROM (SELECT 'threshold' AS alert_type, * FROM static
+      UNION ALL BY NAME SELECT 'zscore' AS alert_type, * FROM dynamic) a
+JOIN held h ON h.id = a.id AND epoch_us(eval_time) // 60000000 >= h.first AND epoch_us(eval_time) // 60000000 < h.after""",
+        "ddos_replay_versions": _with(
+            natural, _versioned(28 * 86400 - 36000), _MATCHED, _CLASSES, _BASELINE, _ddos(2.0, "c.m >= r.first AND c.m < r.after")
+        )
+        + f""" SELECT d.id AS rule_id, h.name AS rule_name, prefix, proto, {_DDOS_COLUMNS}, time_received AS alert_time
+FROM ddos d JOIN held h ON h.id = d.id AND epoch_us(time_received) // 60000000 >= h.first
+  AND epoch_us(time_received) // 60000000 < h.after""",
+        "rules_as_of": _with(_versioned())
+        + f""" SELECT id, name, type, bt AS bandwidth_threshold, pt AS packet_threshold, d AS duration FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY since DESC, version DESC) AS nth FROM ver WHERE since <= {BASE + 603 * 60})
+WHERE nth = 1 AND NOT deleted""",
         "threshold_alert_screen": _with(
             *matched,
             _TOTALS,
@@ -521,6 +578,14 @@ FROM held h""",
         + " SELECT * EXCLUDE (day), day AS time_received FROM baseline",
         "evaluation_log": _threshold_log(_static(), _ZSCORE.format(when="true"), "eval_time")
         + f" WHERE eval_time BETWEEN make_timestamp({BASE}000000) AND make_timestamp({BASE + 172_800}000000)",
+        "windows_in_stream": _with(*matched)
+        + ", part AS (SELECT *, n % 11 = 5 AND tus // 60000000 - " + str(BASE // 60) + " < 172 AS late FROM matched) "
+        + " UNION ALL ".join(
+            f"SELECT '{level}' AS level, prefix, {_slot(seconds)} AS time_received, {_SUMS} FROM part WHERE {which} GROUP BY ALL"
+            for level, seconds, which in (
+                ("1m", 60, "NOT late"), ("10m", 600, "NOT late"), ("1d", 86400, "NOT late"), ("late", 60, "late")
+            )
+        ),
         "rollup_with_out_of_range": _with(*matched)
         + f""", large AS (
   SELECT *, CASE WHEN n % 50 = 7 THEN NULL WHEN n % 10 = 3 THEN 5000000000000000000 ELSE total_bytes END AS b

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmark.functions import codes, ip, timeslot
-from weirmark.operators import alerts, detect, dimension, enrich, prefix, report, retention, rollup, table_functions
+from weirmark.operators import alerts, detect, dimension, enrich, prefix, report, retention, rollup, table_functions, versions
 from weirmark.plans import fixture as fx
 from weirmark.plans.fixture import BASE_US, DENSE, NATURAL
 from weirmark.session import checkpoint_folder
 from weirmark.sources import flows as sources
 from weirmark.sources.tables import Store
-from weirmark.streaming import pipeline, stateful
+from weirmark.streaming import pipeline, stateful, windows
 
 BASE = BASE_US // 1_000_000
 AS_OF_DENSE = BASE + 603 * 60 + 17  # inside the dense spike
@@ -266,6 +266,25 @@ def threshold_alert_log_grid(spark: SparkSession, d: str) -> DataFrame:
     return alerts.threshold_alert_log_grid(_totals(spark, d), fx.rules(spark, d))
 
 
+def threshold_replay_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a past half day in which rules were changed, deleted and turned into others."""
+    return versions.threshold_log_replay(_totals(spark, d), fx.rule_versions(spark, d))
+
+
+def ddos_replay_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Week-over-week alerts of a month; the rules hold from or up to its twenty-ninth day."""
+    profile = _classes(spark, d, NATURAL)
+    baseline = rollup.daily_baseline(profile)
+    later = fx.rule_versions(spark, d).withColumn("valid_from", F.expr("valid_from + INTERVAL '28' DAY - INTERVAL '10' HOUR"))
+    return versions.ddos_log_replay(profile, baseline, later)
+
+
+def rules_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Rules in force ten hours and three minutes into the half day."""
+    then = versions.rules_as_of(fx.rule_versions(spark, d), BASE + 603 * 60)
+    return then.select("id", "name", "type", "bandwidth_threshold", "packet_threshold", "duration")
+
+
 def threshold_alert_screen(spark: SparkSession, d: str) -> DataFrame:
     return alerts.threshold_alerts(_totals(spark, d), fx.rules(spark, d), AS_OF_DENSE)
 
@@ -525,6 +544,35 @@ def stateful_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return store.read("threshold_alerts").drop("date")
 
 
+def windows_in_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Closed minutes, ten minutes and days of a stream of flows, and what came too late for them.
+
+    The flows come in four files of three hours. A seventh of the last eight minutes of each is in the
+    next file, in time; an eleventh of the first three hours is in the last one, too late. Rows of later
+    days close all windows.
+    """
+    root = f"{checkpoint_folder(spark)}/windows-{uuid.uuid4().hex}"
+    minute = f"(unix_seconds(time_received) - {BASE}) div 60"
+    slow = "CASE WHEN sequence_num % 7 = 3 THEN 8 ELSE 0 END"
+    file = f"CASE WHEN sequence_num % 11 = 5 AND {minute} < 172 THEN 3 ELSE least(3, ({minute} + {slow}) div 180) END"
+    tagged = fx.tagged(spark, d).select("time_received", "prefixes", "total_bytes", "total_packets", F.expr(file).alias("_file"))
+    tagged = tagged.checkpoint()
+    for part in range(4):
+        tagged.filter(f"_file = {part}").drop("_file").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    ends = ", ".join(f"timestamp_seconds({BASE + day * 86400}L)" for day in (3, 5, 7, 9))
+    last = f"SELECT explode(array({ends})) AS time_received, array('') AS prefixes, 0L AS total_bytes, 0L AS total_packets"
+    spark.sql(last).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(tagged.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    windows.start_cascade(stream, root, availableNow=True)
+    closed = {name: windows.read_closed(spark, root, name) for name in windows.LEVELS}
+    totals = rollup.prefix_totals(tagged)
+    late = windows.late_partials(totals, closed["1m"], F.expr(f"timestamp_seconds({BASE + 86400}L)"))
+    found = late.withColumn("level", F.lit("late"))
+    for name, rows in closed.items():
+        found = found.unionByName(rows.withColumn("level", F.lit(name)))
+    return found.filter("prefix <> ''")
+
+
 def rollup_with_out_of_range(spark: SparkSession, d: str) -> DataFrame:
     """Totals where some flows' bytes, and some minutes' sums, do not fit 64 bits."""
     large = "CASE WHEN sequence_num % 50 = 7 THEN NULL WHEN sequence_num % 10 = 3 THEN 5000000000000000000L ELSE total_bytes END"
@@ -567,6 +615,9 @@ QUERIES = {
         sql_burst_alerts,
         threshold_alert_log,
         threshold_alert_log_grid,
+        threshold_replay_versions,
+        ddos_replay_versions,
+        rules_as_of,
         threshold_alert_screen,
         ddos_alert_log,
         ddos_alert_log_grid,
@@ -590,6 +641,7 @@ QUERIES = {
         baseline_job,
         evaluation_log,
         stateful_evaluation,
+        windows_in_stream,
         rollup_with_out_of_range,
     )
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weirmark.functions.timeslot import DAY, MINUTE, to_epoch
-from weirmark.operators import alerts, enrich, prefix, rollup
+from weirmark.operators import alerts, enrich, prefix, rollup, versions
 from weirmark.operators.detect import BASELINE_DAYS, LONG_MINUTES, MAX_DURATION, Moment
 from weirmark.operators.retention import KEEP
 from weirmark.sources.tables import MERGED, Store
@@ -22,12 +22,14 @@ class Dimensions:
     """Functions that read the dimension tables as they are now.
 
     They are called for every micro-batch and evaluation, so a changed rule
-    takes effect with the next one.
+    takes effect with the next one. ``versions`` reads the history of the rules, for
+    evaluations of a past span by the rules of each minute.
     """
 
     routers: Callable[[], DataFrame]
     rules: Callable[[], DataFrame]
     protocols: Callable[[], DataFrame]
+    versions: Callable[[], DataFrame] | None = None
 
 
 def refresh_ranges(store: Store, dims: Dimensions) -> None:
@@ -152,20 +154,24 @@ def evaluate_span(
     outbox: str | None = None,
     max_duration: int = MAX_DURATION,
 ) -> None:
-    """An evaluation for every minute from ``start`` to ``end``, in one job."""
+    """An evaluation for every minute from ``start`` to ``end``, in one job.
+
+    By the rules in force at each minute if their versions are known, else by those of now.
+    """
     first, last = to_epoch(start) // MINUTE * MINUTE, to_epoch(end) // MINUTE * MINUTE
-    rules = dims.rules()
     look_back = max(LONG_MINUTES, max_duration) * MINUTE
     totals = store.read("prefixes_total_1m", first - look_back - MINUTE, last + MINUTE - 1)
     profile = store.read("prefixes_proto_profile_1m", first - MINUTE, last + MINUTE - 1)
     baseline = store.read("prefixes_proto_profile_1d", first - (BASELINE_DAYS + 1) * DAY, last)
-    _log(
-        store,
-        f"from.{first}.{last}",
-        alerts.threshold_alert_log_grid(totals, rules, first, last, max_duration),
-        alerts.ddos_alert_log_grid(profile, baseline, rules, first, last),
-        outbox,
-    )
+    if dims.versions:
+        history = dims.versions()
+        threshold = versions.threshold_log_replay(totals, history, first, last, max_duration)
+        ddos = versions.ddos_log_replay(profile, baseline, history, first, last)
+    else:
+        rules = dims.rules()
+        threshold = alerts.threshold_alert_log_grid(totals, rules, first, last, max_duration)
+        ddos = alerts.ddos_alert_log_grid(profile, baseline, rules, first, last)
+    _log(store, f"from.{first}.{last}", threshold, ddos, outbox)
 
 
 def _log(store: Store, part: str, threshold: DataFrame, ddos: DataFrame, outbox: str | None) -> None:
