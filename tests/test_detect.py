@@ -224,3 +224,35 @@ def test_zscore_moments_are_exact(spark):
         found = {int(r.eval_time.timestamp()) for r in detect.dynamic_threshold_grid(rows, rules, at(58), at(62)).collect()}
         single = {T0 + m * 60 for m in range(58, 63) if not detect.dynamic_threshold_alerts(rows, rules, at(m)).isEmpty()}
         assert found == single and found
+
+
+def test_windows_do_not_grow_with_the_rules_of_a_prefix(spark, monkeypatch):
+    """Rules of one duration share a window, and the alerts of many rules are dealt to many tasks."""
+    monkeypatch.setattr(detect, "RULES_A_TASK", 7)
+    values = {m: (600 + m, 60) for m in range(20)}
+    rules = rule(spark, "threshold", id="r0", bandwidth_threshold=80, duration=2)
+    rules = rules.crossJoin(spark.range(40).withColumnRenamed("id", "n")).selectExpr(
+        "concat('r', n) AS id", "concat('Rule ', n) AS name", "prefixes", "type", "80 + n % 3 AS bandwidth_threshold",
+        "packet_threshold", "2 + n % 2 AS duration", "zscore_sensitivity", "zscore_target")
+    ruled, _ = detect._static_rules(rules, 60)
+    assert ruled.tasks == 6
+    minutes = detect._chunked(totals(spark, values), ["prefix"], 4, 1440)
+    assert detect._lowest(minutes.filter("_chunk = floor(_m / 1440)"), ruled.rows, 60, 1440).count() <= 2 * 21
+    grid = detect.static_threshold_grid(totals(spark, values), rules)
+    assert grid.rdd.getNumPartitions() == 6
+    found = {(r.id, (int(r.eval_time.timestamp()) - T0) // 60) for r in grid.collect()}
+    want = set()
+    for n in range(40):
+        over = [m for m in range(20) if (600 + m) * 8 / 60 >= 80 + n % 3]
+        d = 2 + n % 2
+        want |= {(f"r{n}", m) for m in range(21) if sum(t in over for t in range(m - d, m + 1)) >= d and (m in over or m == 20)}
+    assert found == want
+
+
+def test_log_names_rules_that_share_an_id(spark):
+    rules = rule(spark, "threshold", bandwidth_threshold=80, duration=1)
+    both = rules.unionByName(rule(spark, "zscore", name="Other", zscore_target="bits"))
+    rows = totals(spark, {m: 600 for m in range(3)})
+    assert {r.rule_name for r in alerts.threshold_alert_log_grid(rows, both).collect()} == {"Rule", "Other"}
+    nameless = rule(spark, "threshold", id=None, bandwidth_threshold=80, duration=1)
+    assert {r.rule_name for r in alerts.threshold_alert_log_grid(rows, nameless).collect()} == {""}

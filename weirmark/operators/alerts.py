@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def _named(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("name", F.coalesce("_name", F.lit(""))).drop("_name")
 
 
+def _judged(judge: Callable[[DataFrame], DataFrame], rules: DataFrame) -> DataFrame:
+    """Alerts that ``judge`` finds, with the rule's name.
+
+    The id carries the name through the detectors, so alerts, of which each rule may have one a minute,
+    need no join. Where an id names several rules, every one of them names its alerts.
+    """
+    if not rules.groupBy("id").count().filter("count > 1").isEmpty():
+        return _named(judge(rules), rules)
+    found = judge(rules.withColumn("id", F.struct("id", "name")))
+    return found.withColumns({"id": F.col("id.id"), "name": F.expr("IF(id.id IS NULL, '', coalesce(id.name, ''))")})
+
+
 def _both(static: DataFrame, dynamic: DataFrame) -> DataFrame:
     return static.withColumn("type", F.lit("threshold")).unionByName(
         dynamic.withColumn("type", F.lit("zscore"))
@@ -43,8 +57,8 @@ def threshold_alerts(
     )
 
 
-def _threshold_log(found: DataFrame, rules: DataFrame, time) -> DataFrame:
-    return _named(found, rules).select(
+def _threshold_log(named: DataFrame, time) -> DataFrame:
+    return named.select(
         F.col("id").alias("rule_id"),
         F.col("name").alias("rule_name"),
         F.col("type").alias("alert_type"),
@@ -57,9 +71,9 @@ def _threshold_log(found: DataFrame, rules: DataFrame, time) -> DataFrame:
     )
 
 
-def log_of(found: tuple[DataFrame, DataFrame], rules: DataFrame) -> DataFrame:
-    """Rows of the alert log from static and dynamic alerts with their ``eval_time``."""
-    return _threshold_log(_both(*found), rules, F.col("eval_time"))
+def log_of(judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rules: DataFrame) -> DataFrame:
+    """Rows of the alert log from the static and dynamic alerts with ``eval_time`` that ``judge`` finds by the rules."""
+    return _threshold_log(_judged(lambda named: _both(*judge(named)), rules), F.col("eval_time"))
 
 
 def threshold_alert_log(
@@ -74,7 +88,7 @@ def threshold_alert_log(
         detect.static_threshold_alerts(totals, rules, now, max_duration),
         detect.dynamic_threshold_alerts(totals, rules, now),
     )
-    return _threshold_log(found, rules, F.expr(at(now)))
+    return _threshold_log(_named(found, rules), F.expr(at(now)))
 
 
 def threshold_alert_log_grid(
@@ -85,11 +99,14 @@ def threshold_alert_log_grid(
     max_duration: int = detect.MAX_DURATION,
 ) -> DataFrame:
     """The log of one evaluation per minute over a span."""
-    found = (
-        detect.static_threshold_grid(totals, rules, start, end, max_duration),
-        detect.dynamic_threshold_grid(totals, rules, start, end),
-    )
-    return log_of(found, rules)
+
+    def judge(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            detect.static_threshold_grid(totals, named, start, end, max_duration),
+            detect.dynamic_threshold_grid(totals, named, start, end),
+        )
+
+    return log_of(judge, rules)
 
 
 def ddos_screen(
@@ -102,9 +119,9 @@ def ddos_screen(
     return found.select("id", "name", *[c for c in found.columns if c not in ("id", "name", "time_received")])
 
 
-def _ddos_log(found: DataFrame, rules: DataFrame) -> DataFrame:
-    rates = [c for c in found.columns if c not in ("id", "prefix", "proto", "time_received")]
-    return _named(found, rules).select(
+def _ddos_log(named: DataFrame) -> DataFrame:
+    rates = [c for c in named.columns if c not in ("id", "name", "prefix", "proto", "time_received")]
+    return named.select(
         F.col("id").alias("rule_id"),
         F.col("name").alias("rule_name"),
         "prefix",
@@ -122,7 +139,7 @@ def ddos_alert_log(
     sensitivity: str = LOG_SENSITIVITY,
 ) -> DataFrame:
     """Week-over-week alerts to append to the log for one evaluation."""
-    return _ddos_log(detect.ddos_alerts(profile, baseline, rules, as_of, sensitivity), rules)
+    return _ddos_log(_named(detect.ddos_alerts(profile, baseline, rules, as_of, sensitivity), rules))
 
 
 def ddos_alert_log_grid(
@@ -135,5 +152,5 @@ def ddos_alert_log_grid(
 ) -> DataFrame:
     """The log of one evaluation per minute over a span."""
     return _ddos_log(
-        detect.ddos_grid(profile, baseline, rules, start, end, sensitivity), rules
+        _judged(lambda named: detect.ddos_grid(profile, baseline, named, start, end, sensitivity), rules)
     )

@@ -34,6 +34,9 @@ BURST_MINUTES = 5
 BASELINE_DAYS = 7
 CHUNK_MINUTES = 1440
 
+#: Rules whose alerts one task makes, so that no task's share grows with their number.
+RULES_A_TASK = 1000
+
 _BPS = "CAST(bytes AS DOUBLE) * 8 / 60"
 _PPS = "packets / 60"
 _FPS = "flows / 60"
@@ -50,9 +53,9 @@ class _Rules:
         self.rows = rule_prefixes(chosen, "id", *columns)
         self.prefixes = self.rows.select("prefix").distinct()
         longest = F.max("duration") if "duration" in columns else F.lit(None)
-        head = self.rows.limit(BROADCAST_ROWS + 1)
-        count, longest = head.agg(F.count("*"), longest).first()
+        count, longest = self.rows.agg(F.count("*"), longest).first()
         self.small = count <= BROADCAST_ROWS
+        self.tasks = count // RULES_A_TASK + 1
         # longest duration of all rules, where all of them were seen
         self.longest = longest if self.small else None
 
@@ -60,8 +63,15 @@ class _Rules:
         """Rollup rows whose prefix some rule names; done before any shuffle."""
         return lookup_join(rollup, self.prefixes, ["prefix"], "left_semi", small=self.small)
 
-    def join(self, df: DataFrame) -> DataFrame:
-        return lookup_join(df, self.rows, ["prefix"], small=self.small)
+    def join(self, df: DataFrame, on: tuple[str, ...] = ("prefix",)) -> DataFrame:
+        """Every row with each rule of its prefix; rows of a prefix with many rules are dealt to many tasks."""
+        return lookup_join(df, self.rows, [*on], small=self.small, tasks=self.tasks)
+
+    def split_repeated(self) -> tuple[DataFrame, DataFrame]:
+        """Rows whose id is their own within the prefix, and the others."""
+        same = F.count(F.lit(1)).over(Window.partitionBy("id", "prefix"))
+        counted = self.rows.withColumn("_same", same)
+        return counted.filter("_same = 1").drop("_same"), counted.filter("_same > 1").drop("_same")
 
 
 def _minute(ts: str = "time_received") -> Column:
@@ -112,6 +122,7 @@ def _with_silent_minutes(minutes: DataFrame, keys: list[str], follow: int, chunk
             *keys,
             "_chunk",
             "_t",
+            F.expr("_t <> _m").alias("_silent"),
             *[F.expr(f"CASE WHEN _t = _m THEN {c} END").alias(c) for c in SUMS],
         )
     )
@@ -227,7 +238,80 @@ def static_threshold_grid(
     minutes = _chunked(
         ruled.only_ruled(_read(totals, low, high, reach + 1)), ["prefix"], reach + 1, chunk
     )
-    ruled_minutes = ruled.join(minutes)
+    own, repeated = ruled.split_repeated()
+    lowest = _own_minutes(_lowest(minutes, own, max_duration, chunk), low, high, chunk)
+    ruled.rows = own
+    found = _over_lowest(lowest, ruled)
+    if in_force:
+        found = found.filter(f"_t >= {in_force[0]} AND _t < {in_force[1]}")
+    found = found.select("eval_time", *_STATIC)
+    if repeated.isEmpty():
+        return found
+    judged = _judge_streaks(minutes, repeated, ruled.small, reach, max_duration, chunk, in_force)
+    return found.unionByName(_own_minutes(judged, low, high, chunk).select("eval_time", *_STATIC))
+
+
+def _durations(rules: DataFrame) -> DataFrame:
+    """One row per prefix with the durations of its rules, of which there are as many as minutes to look back to."""
+    return rules.groupBy("prefix").agg(F.array_sort(F.collect_set("duration")).alias("_durations"))
+
+
+def _by_duration(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row once for every duration that a rule of its prefix has, however many rules have it."""
+    return lookup_join(df, _durations(rules), ["prefix"]).withColumn("duration", F.explode("_durations")).drop("_durations")
+
+
+def _lowest(minutes: DataFrame, rules: DataFrame, max_duration: int, chunk: int) -> DataFrame:
+    """What the window of each minute ``_t`` holds, by prefix and duration: no limit of any rule takes part.
+
+    ``low_*`` is the smallest value of its last ``duration`` rows, so a limit up to it is reached by all of them;
+    minutes with fewer rows in their window are left out. ``peak_*`` is the largest value.
+    """
+    timed = _by_duration(_with_silent_minutes(minutes, ["prefix"], 1, chunk), rules).withColumns(
+        # an unknown sum reaches no limit
+        {u: F.expr(value) for u, value in (("bps", _BPS), ("pps", _PPS))}
+        | {f"_{u}": F.expr(f"CASE WHEN NOT _silent THEN coalesce({value}, double('-Infinity')) END") for u, value in (("bps", _BPS), ("pps", _PPS))}
+    )
+    # minutes are stretched by duration until all windows have one width: ``near`` looks back to
+    # duration - 1 minutes ago, ``far`` a minute further
+    step = f"(({_SCALE} + duration - 1) div duration)"
+    line = Window.partitionBy("prefix", "duration", "_chunk").orderBy(F.expr(f"(_t - _chunk * {chunk}) * {step}"))
+    sums = {}
+    for name, frame in (("near", line.rangeBetween(1 - _SCALE, 0)), ("far", line.rangeBetween(-_SCALE - max_duration - 1, 0))):
+        sums[f"_n_{name}"] = F.sum(F.expr("IF(_silent, 0, 1)")).over(frame)
+        for u in ("bps", "pps"):
+            sums[f"_low_{u}_{name}"] = F.min(f"_{u}").over(frame)
+            sums[f"_peak_{u}_{name}"] = F.max(u).over(frame)
+    far = f"duration <= {max_duration}"  # else max_duration cuts the window
+    chosen = {"known_bps": F.lit(True), "known_pps": F.lit(True)}
+    for u in ("bps", "pps"):
+        chosen[f"low_{u}"] = F.expr(f"CASE WHEN _n_near = duration THEN _low_{u}_near ELSE _low_{u}_far END")
+        chosen[f"peak_{u}"] = F.expr(f"IF({far}, _peak_{u}_far, _peak_{u}_near)")
+    found = timed.withColumns(sums).filter(f"_n_near = duration OR {far} AND _n_far = duration").withColumns(chosen)
+    return found.select("prefix", "duration", "_chunk", "_t", *chosen)
+
+
+def _over_lowest(lowest: DataFrame, ruled: _Rules) -> DataFrame:
+    """Each rule's alerts, by its limits, from what the windows of its duration hold."""
+    test = "({limit} IS NOT NULL AND low_{u} >= {limit} AND known_{u})"
+    return (
+        ruled.join(lowest, ("prefix", "duration"))
+        .withColumns(
+            {
+                "bandwidth_alert": F.expr(test.format(limit="bandwidth_threshold", u="bps")),
+                "packet_alert": F.expr(test.format(limit="packet_threshold", u="pps")),
+            }
+        )
+        .filter("bandwidth_alert OR packet_alert")
+    )
+
+
+def _judge_streaks(
+    minutes: DataFrame, rules: DataFrame, small: bool, reach: int, max_duration: int, chunk: int,
+    in_force: tuple[str, str] | None,
+) -> DataFrame:
+    """Alerts of rules that share id and prefix: their minutes are judged in one line."""
+    ruled_minutes = lookup_join(minutes, rules, ["prefix"], small=small)
     if in_force:
         ruled_minutes = ruled_minutes.filter(f"_m >= {in_force[0]} - {reach + 1} AND _m < {in_force[1]}")
     flagged = ruled_minutes.selectExpr(
@@ -235,7 +319,7 @@ def static_threshold_grid(
         f"{_BPS} AS bps", f"{_PPS} AS pps",
         f"coalesce({_BPS} >= bandwidth_threshold, false) AS over_bps",
         f"coalesce({_PPS} >= packet_threshold, false) AS over_pps",
-    )
+    ).repartition("id", "prefix", "_chunk")
     alerts = _with_streaks(flagged, ["over_bps", "over_pps"]).withColumns(
         {
             # the window has a slot more than the rule's rows, unless max_duration cuts it
@@ -261,8 +345,7 @@ def static_threshold_grid(
         "id", "prefix", "duration", "_chunk", "_at.t AS _t", "_at.b AS bandwidth_alert", "_at.p AS packet_alert",
         "IF(_at.own, bps, NULL) AS bps", "IF(_at.own, pps, NULL) AS pps",
     )
-    found = _with_peaks(moments, max_duration, chunk).filter("bandwidth_alert OR packet_alert")
-    return _own_minutes(found, low, high, chunk).select("eval_time", *_STATIC)
+    return _with_peaks(moments, max_duration, chunk).filter("bandwidth_alert OR packet_alert")
 
 
 _STREAM = ["id", "prefix", "_chunk"]
@@ -448,7 +531,19 @@ def judge_windows(windows: DataFrame, rules: DataFrame, max_duration: int = MAX_
     ruled, _ = _static_rules(never_firing(rules, max_duration, fires=True), max_duration)
     timed = windows.withColumn("eval_time", F.expr(f"timestamp_seconds(_t * {MINUTE})"))
     seen = timed.filter("size(_seen) > 0").select("eval_time", "prefix", "_t", "_seen")
-    static = _judge_static(ruled.join(seen).withColumn("_seen", F.expr("filter(_seen, x -> x._t >= _t - duration)")))
+    # the window of each duration is looked through once, not for every rule
+    windowed = _by_duration(seen, ruled.rows).withColumn("_seen", F.expr("filter(_seen, x -> x._t >= _t - duration)"))
+    last = windowed.filter("size(_seen) >= duration").withColumn(
+        "_last", F.expr("slice(_seen, -CAST(duration AS INT), CAST(duration AS INT))")
+    )
+    lowest = last.selectExpr(
+        "eval_time", "prefix", "duration",
+        *[f"array_min(transform(_last, x -> x.{u})) AS low_{u}" for u in ("bps", "pps")],
+        # an unknown sum leaves it open
+        *[f"IF(exists(_last, x -> x.{u} IS NULL), NULL, true) AS known_{u}" for u in ("bps", "pps")],
+        *[f"array_max(transform(_seen, x -> x.{u})) AS peak_{u}" for u in ("bps", "pps")],
+    )
+    static = _over_lowest(lowest, ruled)
     stats = timed.drop("_seen")
     return static.select("eval_time", *_STATIC), _judge_zscore(stats, _zscore_rules(rules)).select("eval_time", *_ZSCORE)
 

@@ -145,8 +145,7 @@ def minute_windows(partials: DataFrame, lateness: str = LATENESS, max_duration:
 
 def judged_log(windows: DataFrame, rules: DataFrame, max_duration: int = detect.MAX_DURATION) -> DataFrame:
     """Rows for the alert log from windows of closed minutes."""
-    found = detect.judge_windows(windows, rules, max_duration)
-    return alerts.log_of(found, rules)
+    return alerts.log_of(lambda named: detect.judge_windows(windows, named, max_duration), rules)
 
 
 def start_stateful_evaluation(
