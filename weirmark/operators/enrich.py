@@ -10,6 +10,9 @@ from weirmark.functions import codes, ip, timeslot
 from weirmark.operators import joins
 from weirmark.operators.prefix import PrefixIndex, match_prefixes
 
+#: Tasks that share the flows of one input split where they must be shuffled; a flow in memory is far larger than in its file.
+TASKS_A_SPLIT = 16
+
 
 def router_defaults(routers: DataFrame) -> DataFrame:
     """Router address → default sampling, one row per address."""
@@ -30,9 +33,11 @@ def scale_samples(flows: DataFrame, routers: DataFrame) -> DataFrame:
     :func:`out_of_range`.
     """
     df = flows.withColumn("_sampler", F.expr(ip.ip_compact("sampler_address")))
-    # the table of defaults has no more rows than the routers themselves
-    small = joins.at_most(routers, joins.BROADCAST_ROWS)
-    df = joins.lookup_join(df, router_defaults(routers), ["_sampler"], "left", small=small)
+    defaults = router_defaults(routers)
+    # a row per address: of routers there may be many more
+    small = joins.at_most(defaults, joins.BROADCAST_ROWS)
+    tasks = 1 if small else TASKS_A_SPLIT * df.rdd.getNumPartitions()
+    df = joins.lookup_join(df, defaults, ["_sampler"], "left", small=small, tasks=tasks)
     rate = (
         "CASE WHEN sampling_rate = 0 THEN coalesce(_default_sampling, 0L) ELSE sampling_rate END"
     )
