@@ -432,13 +432,22 @@ def retention_30d(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Rows whose many blocks, or many flows, one task makes.
+ROWS_A_TASK, FLOWS_A_FILE = 2_000, 500_000
+
+
 def _many_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every length from 3 to 32, and of IPv6 from 29 to 128, in one column of prefixes."""
     number = "(167772160 + k % 4 * 65536 + k % 256 * 256 + k % 7)"
-    lengths = fx.table(spark, d, "supplier").selectExpr("s_suppkey AS k", "explode(sequence(3, 32)) AS length")
+    # a row becomes 130 blocks, so few rows are work enough for a task
+    suppliers = fx.table(spark, d, "supplier").select("s_suppkey")
+    tasks = suppliers.count() // ROWS_A_TASK + 1
+    if tasks > 1:
+        suppliers = suppliers.repartition(tasks, "s_suppkey")
+    lengths = suppliers.selectExpr("s_suppkey AS k", "explode(sequence(3, 32)) AS length")
     net = lengths.selectExpr("length", f"shiftleft(shiftright({number}, 32 - length), 32 - length) AS net")
     parts = ", '.', ".join(f"shiftright(net, {s}) % 256" for s in (24, 16, 8, 0))
-    v6 = fx.table(spark, d, "supplier").selectExpr(
+    v6 = suppliers.selectExpr(
         f"{0x20010DB8 << 32} + (s_suppkey % 150 + 1) * 65536 AS high", "s_suppkey % 7 + 1 AS low", "explode(sequence(29, 128)) AS length"
     )
     cut = v6.selectExpr(
@@ -476,7 +485,9 @@ def _dimensions(spark: SparkSession, d: str) -> pipeline.Dimensions:
 
 def stored_totals_merged(spark: SparkSession, d: str) -> DataFrame:
     """Totals of seven parts, one of them written twice, after their days were merged."""
-    store, tagged = _store(spark), fx.tagged(spark, d)
+    store = _store(spark)
+    # all parts read the tagged flows back, so the tables that tag them are sent around once
+    tagged = fx.tagged(spark, d).select("sequence_num", "time_received", "prefixes", "total_bytes", "total_packets").checkpoint()
     for part in (*range(7), 3):
         share = tagged.filter(f"sequence_num % 7 = {part}")
         store.append("prefixes_total_1m", rollup.prefix_totals(share), part)
@@ -486,12 +497,14 @@ def stored_totals_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Totals that the ingest stream leaves behind; the flows come in four files."""
+    """Totals that the ingest stream leaves behind; the flows come in four lots of files."""
     store, folder = _store(spark), f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    files = fx.table(spark, d, "events").count() // (4 * FLOWS_A_FILE) + 1
     for part in range(4):
-        share = fx.flows(spark, d).filter(f"sequence_num % 4 = {part}").coalesce(1)
+        share = fx.flows(spark, d).filter(f"sequence_num % 4 = {part}")
+        share = share.coalesce(1) if files == 1 else share.repartition(files, "sequence_num")
         share.write.mode("append").parquet(f"{folder}/in")
-    flows = sources.file_flows(spark, f"{folder}/in", max_files=1)
+    flows = sources.file_flows(spark, f"{folder}/in", max_files=files)
     dims = _dimensions(spark, d)
     pipeline.start_ingest(flows, store, dims, f"{folder}/checkpoint", availableNow=True).awaitTermination()
     return rollup.merge_partials(store.read("prefixes_total_1m"), ["prefix", "time_received"])
