@@ -103,23 +103,26 @@ def rake(
     With a ``tolerance`` the rounds go on until no marginal is further off; if it no longer
     falls or ``MAX_ROUNDS`` do not suffice, the targets can hardly be met together, and the remaining error is logged.
     """
-    wanted = [stored(shares(cells, target), f"shares-{target.column}") for target in targets]
     out, error = cells.withColumn("w", F.col("tokens").cast("double")), None
+    # every cell carries its target shares, so a round joins each column once; small joins fill the driver, too
+    for target in targets:
+        out = out.join(shares(cells, target).withColumnRenamed("t", f"_t_{target.column}"), target.column)
+    out, kept = stored(out, "shares"), [f"_t_{target.column}" for target in targets]
     for turn in range(rounds if tolerance is None else max(rounds, MAX_ROUNDS)):
         if tolerance is not None and turn >= rounds and turn % rounds == 0:
             before, error = error, largest_error(marginals(out, "w", targets))
             if error <= tolerance:
-                return out
+                return out.drop(*kept)
             if before and error > 0.999 * before:
                 break
-        for target, share in zip(targets, wanted):
-            now = out.groupBy(target.column).agg(F.sum("w").alias("s")).join(share, target.column)
+        for target in targets:
+            now = out.groupBy(target.column).agg(F.sum("w").alias("s"), F.max(f"_t_{target.column}").alias("t"))
             factor = now.select(target.column, (F.col("t") / F.col("s")).alias("factor"))
             out = out.join(factor, target.column).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
         out = stored(out, "raked")
     if tolerance is not None and (error := largest_error(marginals(out, "w", targets))) > tolerance:
         LOG.warning("raking: a marginal stays off by %.3g of its target", error)
-    return out
+    return out.drop(*kept)
 
 
 def scale_to(rates: DataFrame, budget: float) -> float:
