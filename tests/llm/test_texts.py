@@ -273,6 +273,18 @@ def test_marginals_hold(spark):
         assert now.keys() == wanted.keys() and all(abs(now[k] - wanted[k]) < 1e-6 for k in now)
 
 
+def test_a_round_of_raking_joins_each_column_once(spark, monkeypatch):
+    rows = [(a, b, c, 1 + len(a + b + c)) for a in ("web", "book") for b in ("en", "de") for c in ("x", "yy")]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    plans = []
+    stored = mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), stored(df, name))[1])
+    raked = mixing.rake(frame, rounds=2)
+    # the plan of a column holds that of the one before twice: 1, 3, 7; with the shares joined in each round it was 14
+    assert [plan.count("Join Inner") for name, plan in plans if name == "raked"] == [2 ** len(mixing.TARGETS) - 1] * 2
+    assert set(raked.columns) == {"source", "lang", "topic", "tokens", "w"}
+
+
 def test_mixing_odd(clashing, no_docs):
     found = mixing.mixed(clashing).collect()
     assert len(found) == 10

@@ -177,10 +177,10 @@ def test_real_outputs(spark, make_docs, aligner):
 def test_cache_is_bounded_and_forgets_the_oldest():
     cache = ByteCache(100)
     for k in range(30):
-        cache.add(k, k, 10)
+        cache.add({k: k}, 10)
         assert cache.find({0})[0] == {0: 0}  # asked for again and again, so it stays
     assert len(cache.young) + len(cache.old) <= 10 and cache.find({29, 3}) == ({29: 29}, [3])
-    cache.add("large", 1, 51)
+    cache.add({"large": 1}, 51)
     assert cache.find({"large"})[1] == ["large"]
 
 
