@@ -1,6 +1,7 @@
 """Evaluation with state per prefix: restarts, late partials, quiet minutes."""
 
 import test_detect as td
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weirmark import schema
@@ -18,6 +19,25 @@ def test_windows_of_a_minute():
     assert stateful.window_row("p", 15, minutes, 3) is None
 
 
+def test_windows_of_many_minutes_are_those_of_each():
+    minutes = {m: (None if m % 7 == 3 else (1 << 61) + m, m * m) for m in range(0, 300, 2)}
+    rows = list(stateful.window_rows("p", range(-2, 320), minutes, 60))
+    assert [r[1] for r in rows] == list(range(0, 298 + 6))
+    for row in rows:
+        t, named = row[1], dict(zip(stateful.COLUMNS, row))
+        for unit, k, scale in (("bps", 0, 8 / 60), ("pps", 1, 1 / 60)):
+            known = {m: v[k] for m, v in minutes.items() if v[k] is not None and m <= t}
+            long = [v for m, v in known.items() if t - 240 <= m < t - 5]
+            short = [v for m, v in known.items() if m >= t - 5]
+            assert named[f"peak_{unit}"] == (max(short) * scale if short else None)
+            assert named[f"long_avg_{unit}"] == (sum(long) * scale / len(long) if long else None)
+        assert named["_m"].tolist() == ([m for m in minutes if t - 60 <= m <= t] if t < 300 else [])
+
+
+def test_workers_need_no_copy_of_the_library():
+    assert b"weirmark.operators" not in cloudpickle.dumps(stateful.MinuteWindows(60))
+
+
 def test_restart_and_late_partials(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", q.ROCKSDB)
     store = Store(spark, str(tmp_path / "store"))

@@ -10,10 +10,13 @@ of the static rules, the moments of the z-score) is handed to the same SQL judge
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from math import sqrt
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -29,47 +32,72 @@ from weirmark.sources.tables import Store
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNITS = ("bps", "pps")
+SCALES = (8 / 60, 1 / 60)
 STATS = ("short_avg", "peak", "long_avg", "long_stddev")
-SEEN = "array<struct<_t: bigint, bps: double, pps: double>>"
-WINDOWS = f"prefix string, _t long, _seen {SEEN}, samples long, " + ", ".join(f"{s}_{u} double" for u in UNITS for s in STATS)
+#: A window as it leaves the worker: the minutes of the static window as three arrays of whole numbers.
+COLUMNS = {"prefix": "string", "_t": "long"} | {c: "array<long>" for c in ("_m", "_b", "_p")} | {"samples": "long"}
+COLUMNS |= {f"{s}_{u}": "double" for u in UNITS for s in STATS}
 #: Late partials are waited for this long.
 LATENESS = "10 minutes"
 LARGEST = 2**63 - 1
 #: Stands for a sum beyond 64 bits, which counts in no total.
 UNKNOWN = -1
+# by value, as executors need no copy of the library
+MINUTE_S, SHORT, LONG, MIN_SAMPLES = MINUTE, detect.SHORT_MINUTES, detect.LONG_MINUTES, detect.MIN_SAMPLES
 
 
-def _moments(values: list[int], scale: float) -> tuple[float | None, float | None]:
-    """Mean and standard deviation of whole numbers, times ``scale``; exact up to the last step."""
-    n = len(values)
+def _moments(n: int, total: int, squares: int, scale: float) -> tuple[float | None, float | None]:
+    """Mean and standard deviation of ``n`` whole numbers, times ``scale``, from their sums; exact up to the last step."""
     if not n:
         return None, None
-    total = sum(values)
-    return total * scale / n, sqrt(n * sum(v * v for v in values) - total * total) / n * scale
+    return total * scale / n, sqrt(n * squares - total * total) / n * scale
+
+
+def window_rows(prefix: str, times: Iterable[int], minutes: dict[int, tuple], reach: int) -> Iterator[tuple]:
+    """What the evaluations of the minutes ``times`` see, in the order of ``COLUMNS``; none where no alert can hold.
+
+    Sums run over the minutes once, so a window is a difference of two of them, however long it is.
+    """
+    slots = sorted(minutes)
+    seen = [np.array(slots, np.int64)]
+    lines = []
+    for k in range(len(UNITS)):
+        seen.append(np.array([UNKNOWN if minutes[m][k] is None else minutes[m][k] for m in slots], np.int64))
+        known = [m for m in slots if minutes[m][k] is not None]
+        values = [minutes[m][k] for m in known]
+        lines.append((known, values, [0, *accumulate(values)], [0, *accumulate(v * v for v in values)]))
+    for t in times:
+        upto = bisect_right(slots, t)
+        if not upto or slots[upto - 1] < t - SHORT:
+            continue
+        since = bisect_left(slots, t - reach) if slots[upto - 1] >= t - 1 else upto
+        row: list[Any] = [prefix, t, *[x[since:upto] for x in seen], 0]
+        for k, (known, values, sums, squares) in enumerate(lines):
+            a, b, c = bisect_left(known, t - LONG), bisect_left(known, t - SHORT), bisect_right(known, t)
+            if not k:
+                row[-1] = b - a
+            short, _ = _moments(c - b, sums[c] - sums[b], squares[c] - squares[b], SCALES[k])
+            row += [short, max(values[b:c]) * SCALES[k] if b < c else None]
+            row += _moments(b - a, sums[b] - sums[a], squares[b] - squares[a], SCALES[k])
+        yield tuple(row)
 
 
 def window_row(prefix: str, t: int, minutes: dict[int, tuple], reach: int) -> dict[str, Any] | None:
-    """What the evaluation of minute ``t`` sees; None if no alert can hold then."""
-    last = max((m for m in minutes if m <= t), default=None)
-    if last is None or last < t - detect.SHORT_MINUTES:
+    """What the evaluation of minute ``t`` sees, by name; None if no alert can hold then."""
+    for row in window_rows(prefix, [t], minutes, reach):
+        named = dict(zip(COLUMNS, row))
+        known = [[None if v == UNKNOWN else int(v) for v in named.pop(c)] for c in ("_m", "_b", "_p")]
+        seen = [{"_t": m, "bps": None if b is None else b * 8 / 60, "pps": None if p is None else p / 60} for m, b, p in zip(*known)]
+        return named | {"_seen": seen}
+    return None
+
+
+def _due(minutes: dict[int, tuple], judged: int | None) -> int | None:
+    """The next minute to judge; None if no minute can raise an alert any more."""
+    ahead = [m for m in minutes if judged is None or m + SHORT > judged]
+    if not ahead:
         return None
-    row: dict[str, Any] = {"prefix": prefix, "_t": t, "_seen": []}
-    if last >= t - 1:
-        row["_seen"] = [
-            {"_t": m, "bps": None if b is None else b * 8 / 60, "pps": None if p is None else p / 60}
-            for m, (b, p) in sorted(minutes.items())
-            if t - reach <= m <= t
-        ]
-    for k, (unit, scale) in enumerate(zip(UNITS, (8 / 60, 1 / 60))):
-        known = [(m, v[k]) for m, v in minutes.items() if v[k] is not None and m <= t]
-        short = [v for m, v in known if m >= t - detect.SHORT_MINUTES]
-        long = [v for m, v in known if t - detect.LONG_MINUTES <= m < t - detect.SHORT_MINUTES]
-        if unit == "bps":
-            row["samples"] = len(long)
-        row[f"short_avg_{unit}"], _ = _moments(short, scale)
-        row[f"peak_{unit}"] = max(short) * scale if short else None
-        row[f"long_avg_{unit}"], row[f"long_stddev_{unit}"] = _moments(long, scale)
-    return row
+    return min(ahead) if judged is None else max(judged + 1, min(ahead))
 
 
 class MinuteWindows(StatefulProcessor):
@@ -83,50 +111,52 @@ class MinuteWindows(StatefulProcessor):
         self.ring = handle.getValueState("ring", "m array<bigint>, b array<bigint>, p array<bigint>, judged bigint")
 
     def _load(self) -> tuple[dict[int, tuple], int | None]:
-        if not self.ring.exists():
+        kept = self.ring.get()
+        if kept is None:
             return {}, None
-        m, b, p, judged = self.ring.get()
+        m, b, p, judged = kept
         return dict(zip(m, zip(b, p))), judged
 
     def _save(self, minutes: dict[int, tuple], judged: int | None) -> None:
         m = sorted(minutes)
         self.ring.update((m, [minutes[x][0] for x in m], [minutes[x][1] for x in m], judged))
 
-    def _wake(self, minutes: dict[int, tuple], judged: int | None) -> None:
-        """One timer, at the end of the next minute to judge."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        ahead = [m for m in minutes if judged is None or m + detect.SHORT_MINUTES > judged]
-        if ahead:
-            due = min(ahead) if judged is None else max(judged + 1, min(ahead))
-            self.handle.registerTimer((due + 1) * MINUTE * 1000)
+    def _wake(self, before: int | None, due: int | None) -> None:
+        """One timer, at the end of the minute ``due``; ``before``: the one it was set to and has not yet fired for."""
+        if before == due:
+            return
+        if before is not None:
+            self.handle.deleteTimer((before + 1) * MINUTE_S * 1000)
+        if due is not None:
+            self.handle.registerTimer((due + 1) * MINUTE_S * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         minutes, judged = self._load()
+        before = _due(minutes, judged)
         for frame in rows:
             for m, *values in zip(*(frame[c].tolist() for c in ("slot", "bytes", "packets"))):
                 old = minutes.get(m, (None, None))
                 new = tuple(a if v == UNKNOWN else (a or 0) + v for a, v in zip(old, values))
                 minutes[m] = tuple(None if v is not None and v > LARGEST else v for v in new)
         self._save(minutes, judged)
-        self._wake(minutes, judged)
-        yield pd.DataFrame()
+        self._wake(before, _due(minutes, judged))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         minutes, judged = self._load()
-        closed = timerValues.getCurrentWatermarkInMs() // (MINUTE * 1000) - 1
+        closed = timerValues.getCurrentWatermarkInMs() // (MINUTE_S * 1000) - 1
         first = min(minutes) if judged is None else judged + 1
-        out = []
         # a jump of the watermark passes quiet hours at once
-        for t in sorted({m + k for m in minutes for k in range(detect.SHORT_MINUTES + 1)}):
-            if first <= t <= closed and (row := window_row(key[0], t, minutes, self.reach)):
-                out.append(row)
+        times = sorted(t for t in {m + k for m in minutes for k in range(SHORT + 1)} if first <= t <= closed)
+        rows = window_rows(key[0], times, minutes, self.reach)
+        # no static rule fires without a minute in its window, no z-score with few samples
+        out = [row for row in rows if len(row[2]) or row[5] >= MIN_SAMPLES]
         # a minute that is still open sees no further back than this
-        oldest = closed + 1 - max(self.reach, detect.LONG_MINUTES)
+        oldest = closed + 1 - max(self.reach, LONG)
         minutes = {m: v for m, v in minutes.items() if m >= oldest}
         self._save(minutes, closed)
-        self._wake(minutes, closed)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.replace(SEEN, "x").split(", ")]) if out else pd.DataFrame()
+        self._wake(None, _due(minutes, closed))  # the timer that fired is gone
+        return iter([pd.DataFrame(out, columns=list(COLUMNS))] if out else [])
 
 
 def minute_windows(partials: DataFrame, lateness: str = LATENESS, max_duration: int = detect.MAX_DURATION) -> DataFrame:
@@ -138,9 +168,15 @@ def minute_windows(partials: DataFrame, lateness: str = LATENESS, max_duration:
         "time_received", "prefix", F.expr(epoch_slot("time_received", MINUTE)).alias("slot"),
         *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("bytes", "packets")],  # sums are whole and never null in the worker
     )
-    return rows.groupBy("prefix").transformWithStateInPandas(
-        statefulProcessor=MinuteWindows(max_duration), outputStructType=WINDOWS, outputMode="append", timeMode="eventTime"
+    windows = rows.groupBy("prefix").transformWithStateInPandas(
+        statefulProcessor=MinuteWindows(max_duration), outputStructType=", ".join(f"{c} {kind}" for c, kind in COLUMNS.items()),
+        outputMode="append", timeMode="eventTime",
+    )
+    seen = (
+        "transform(arrays_zip(_m, _b, _p), x -> struct(x._m AS _t,"
+        f" CAST(nullif(x._b, {UNKNOWN}L) AS DOUBLE) * 8 / 60 AS bps, nullif(x._p, {UNKNOWN}L) / 60 AS pps))"
     )
+    return windows.withColumn("_seen", F.expr(seen)).drop("_m", "_b", "_p")
 
 
 def judged_log(windows: DataFrame, rules: DataFrame, max_duration: int = detect.MAX_DURATION) -> DataFrame:
