@@ -172,6 +172,24 @@ def test_phrases(text):
     assert lz.phrase_ends(other, list(known)) == lz.phrase_ends(other)
 
 
+def test_smallest_hashes_may_be_equal():
+    rnd = np.random.default_rng(4)
+    for most in (3, 90, 1 << 31):
+        for n in (0, 1, 70, 5000):
+            hashes = rnd.integers(0, most, n).astype("<u4")
+            assert lz.smallest(hashes, 64).tolist() == sorted(set(hashes.tolist()))[:64]
+
+
+def test_an_edited_text_is_parsed_on_from_the_cut():
+    for text, after in (("abab" * 40, "日本 abab" * 9), ("é" * 7, ""), ("", "x"), ("a", "b"), ("日a日b" * 11, "zz" * 50)):
+        here, following = lz._Parsed(1, text, 16), lz._Parsed(2, after, 16)
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        row, plain = here.row(following), lz.signature(edited, lz.phrase_ends(edited), 16)
+        assert row[4] == lz._text(plain) and row[5] == lz.likeness(lz.signature(text, lz.phrase_ends(text), 16), plain, 16)
+        assert (here.hashes == lz.phrase_hashes(text, lz.phrase_ends(text))).all() and here.same <= len(here.ends)
+
+
+
 def test_likeness_of_short_texts_is_exact():
     a, b = "one two three", "one two four"
     signs = [lz.signature(t, lz.phrase_ends(t)) for t in (a, b)]

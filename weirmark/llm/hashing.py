@@ -38,12 +38,12 @@ def xxh64_slices(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int
     with np.errstate(over="ignore"):
         acc = np.uint64(seed) + P5 + left.astype(np.uint64)
         for _ in range(3):
-            has = left >= 8
-            word = np.where(has, words[at], 0) * P2
-            mixed = _turn(acc ^ (_turn(word, 31) * P1), 27) * P1 + P4
-            acc = np.where(has, mixed, acc)
-            step = np.where(has, 8, 0)
-            at, left = at + step, left - step
+            has = np.flatnonzero(left >= 8)
+            if not len(has):
+                break
+            acc[has] = _turn(acc[has] ^ (_turn(words[at[has]] * P2, 31) * P1), 27) * P1 + P4
+            at[has] += 8
+            left[has] -= 8
         has = left >= 4
         four = words[at] & np.uint64(0xFFFFFFFF)
         acc = np.where(has, _turn(acc ^ (four * P1), 23) * P2 + P3, acc)

@@ -26,35 +26,56 @@ KEPT = 64
 SEED = 7
 
 
-def phrase_ends(text: str, ends: list[int] | None = None) -> list[int]:
-    """Where the phrases of ``text`` end; ``ends``: those of its beginning, if known.
+def _parse(text: str, at: int, stop: int, phrase: str, seen: set[str], ends: list[int]) -> str:
+    """Parse ``text`` from ``at`` to ``stop``, going on with a ``phrase`` begun before; the one left open there.
 
-    What is left at the end of the text is a phrase seen before, and adds nothing.
+    New phrases go into ``seen`` and their ends into ``ends``.
     """
-    ends = [] if ends is None else ends
-    seen = {text[a:b] for a, b in zip([0, *ends], ends)}
-    phrase, note = "", ends.append
-    at = ends[-1] if ends else 0
-    for char in text[at:]:
+    add, note = seen.add, ends.append
+    for char in text[at:stop]:
         phrase += char
         at += 1
         if phrase not in seen:
-            seen.add(phrase)
+            add(phrase)
             note(at)
             phrase = ""
+    return phrase
+
+
+def phrase_ends(text: str, ends: list[int] | None = None) -> list[int]:
+    """Where the phrases of ``text`` end; ``ends``: those of its beginning, if known.
+
+    What is left at the end of the text is a phrase seen before, and adds nothing.
+    """
+    ends = [] if ends is None else ends
+    seen = {text[a:b] for a, b in zip([0, *ends], ends)}
+    _parse(text, ends[-1] if ends else 0, len(text), "", seen, ends)
     return ends
 
 
-def signature(text: str, ends: list[int], kept: int = KEPT) -> np.ndarray:
-    """The smallest 32-bit hashes of the phrases, ascending."""
-    if not ends:
+def phrase_hashes(text: str, ends: list[int], first: int = 0) -> np.ndarray:
+    """32-bit hashes of the phrases of ``text`` from the number ``first`` on."""
+    if first >= len(ends):
         return np.empty(0, "<u4")
-    data, places = text.encode(), np.array([0, *ends])
-    if len(data) != len(text):  # from code points to bytes
+    begin = ends[first - 1] if first else 0
+    data, places = text[begin:].encode(), np.array([begin, *ends[first:]]) - begin
+    if len(data) != len(text) - begin:  # from code points to bytes
         heads = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
         places = np.append(np.flatnonzero(heads), len(data))[places]
-    hashes = np.unique((xxh64_slices(data, places[:-1], np.diff(places), SEED) >> np.uint64(32)).astype("<u4"))
-    return hashes[:kept]
+    return (xxh64_slices(data, places[:-1], np.diff(places), SEED) >> np.uint64(32)).astype("<u4")
+
+
+def smallest(hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """The ``kept`` smallest of the distinct hashes, ascending."""
+    few = hashes if len(hashes) <= 4 * kept else np.partition(hashes, 2 * kept)[: 2 * kept]
+    found = np.unique(few)[:kept]
+    # equal hashes among the few can leave too little
+    return found if len(found) == kept or len(few) == len(hashes) else np.unique(hashes)[:kept]
+
+
+def signature(text: str, ends: list[int], kept: int = KEPT) -> np.ndarray:
+    """The smallest 32-bit hashes of the phrases, ascending."""
+    return smallest(phrase_hashes(text, ends), kept)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
@@ -69,17 +90,25 @@ def _text(values: np.ndarray) -> str:
 
 
 class _Parsed:
+    """A text's phrases, and where its parse stands at the cut that the edited text shares with it."""
+
     def __init__(self, doc_id, text: str, kept: int):
         self.doc_id, self.text, self.kept = doc_id, text, kept
-        self.ends = phrase_ends(text)
-        self.signature = signature(text, self.ends, kept)
+        self.cut = len(text) - len(text) // 2
+        seen, self.ends = set(), []
+        self.open = _parse(text, 0, self.cut, "", seen, self.ends)
+        self.seen, self.same = seen.copy(), len(self.ends)
+        _parse(text, self.cut, len(text), self.open, seen, self.ends)
+        self.hashes = phrase_hashes(text, self.ends)
+        self.signature = smallest(self.hashes, kept)
 
     def row(self, following: _Parsed) -> tuple:
-        """The result for this document, given the next one."""
-        cut = len(self.text) - len(self.text) // 2
-        edited = self.text[:cut] + following.text[: len(self.text) // 2]
-        same = self.ends[: np.searchsorted(self.ends, cut, side="right")] if self.ends else []
-        other = signature(edited, phrase_ends(edited, list(same)), self.kept)
+        """The result for this document, given the next one; asked for once, as the parse goes on from the cut."""
+        edited = self.text[: self.cut] + following.text[: len(self.text) // 2]
+        ends = self.ends[: self.same]
+        _parse(edited, self.cut, len(edited), self.open, self.seen, ends)
+        # phrases up to the cut are the text's own
+        other = smallest(np.append(self.hashes[: self.same], phrase_hashes(edited, ends, self.same)), self.kept)
         return (
             self.doc_id,
             len(self.text),
